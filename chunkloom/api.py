@@ -50,7 +50,7 @@ class LateChunker:
         p = self.options.document_prompt if prompt is None else prompt
         plan = ch.Plan(cfgs, max_length, chunk_overlap_sents, prechunk, prechunk_overlap, split_long_sents, keep_tail, exclude_special_tokens, count_specials, how, p or None)
         rows = ch.embedded(docs, plan, self.options, self.encoder, id_col, text_col, sent_tokenizer)
-        c = F.col("chunk")
+        c = F.col("__chunk")
         limits = F.array(*(F.struct(F.lit(x.max_sents).cast("int").alias("s"), F.lit(x.max_tokens).cast("int").alias("t")) for x in cfgs))
         lim = F.get(limits, c["config_no"])
         cols = [F.col(id_col), c["chunk_no"].alias("chunk_idx"), lim["s"].alias("max_chunk_sents"), lim["t"].alias("max_chunk_tokens"), *(c[n].alias(n) for n in ("num_sents", "first_sent", "last_sent", "is_split", "n_tokens"))]

@@ -161,7 +161,7 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
 
 
 def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncoder | None = None, id_col: str = "doc_id", text_col: str = "text", method: str = "regex") -> DataFrame:
-    """(id, sents, chunk): a row for each chunk with the fields of ``PLAN`` and ``embedding``; vectors are not post-processed."""
+    """(id, sents, __chunk): a row for each chunk with the fields of ``PLAN`` and ``embedding``; vectors are not post-processed."""
     enc = encoder or HashContextEncoder(options.dim, options.context)
     dims = min(enc.dim, options.truncate_dims or enc.dim)
     item = pa.struct([*_PLAN_TYPE, ("embedding", pa.list_(pa.float64()))])
@@ -201,7 +201,7 @@ def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncode
         return pa.array(out, pa.list_(item))
 
     pre = prepared(docs, id_col, text_col, method)
-    return pre.select(id_col, "sents", F.explode(run("hashes", "counts")).alias("chunk"))
+    return pre.select(id_col, "sents", F.explode(run("hashes", "counts")).alias("__chunk"))
 
 
 def _deduplicated(chunks: list[tuple[tuple, np.ndarray]], how: str) -> list[tuple[tuple, np.ndarray]]:

@@ -87,7 +87,7 @@ def sentence_offsets(spark, sf_dir):
     return tx.sentences(docs(spark, sf_dir)).select("doc_id", "sent_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
-@query(_with(q.SENTS) + " SELECT d.lang, count(*) AS n_sents, count(DISTINCT doc_id) AS n_docs, sum(length(sent)) AS n_chars FROM sents JOIN documents d USING (doc_id) GROUP BY d.lang")
+@query(_with(q.SENTS) + " SELECT d.lang, count(*) AS n_sents, count(DISTINCT doc_id) AS n_docs, CAST(sum(length(sent)) AS BIGINT) AS n_chars FROM sents JOIN documents d USING (doc_id) GROUP BY d.lang")
 def sentence_stats_by_lang(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(tx.sentence_texts(F.col("text"))).alias("s"))
     return s.groupBy("lang").agg(F.count("*").alias("n_sents"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length("s")).alias("n_chars"))
