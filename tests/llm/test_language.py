@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,10 @@ def test_held_out_accuracy(spark):
 def test_foreign_scripts_are_rejected(spark, table):
     m = la.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rows = [(1, "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше"), (2, "the thing and that other thing of the nation"), (3, "敏捷的棕色狐狸跳过了懒狗" * 5)]
+    r = random.Random(4)
+    rows += [(10 + n, "".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(40 * n))) for n in range(1, 9)]
     got = {r.doc_id: (r.language, r.accepted) for r in la.identified(table(rows), m).collect()}
+    assert not any(got[10 + n][1] for n in range(1, 9))
     assert got[1] == (None, False) and got[3] == (None, False) and got[2] == ("en", True)
 
 
