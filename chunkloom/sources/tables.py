@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Sequence
 
@@ -22,6 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they see that path; elsewhere ship it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = root + (os.pathsep + have if have else "")
+
+
 def from_strings(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
     """(doc_id, text); a document's id is its position.  An empty list is an error, as is anything but strings."""
     if not len(texts):
