@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm import common, contamination, language, near_text, packing, private
+from chunkloom.sources.tables import importable
 
 #: The stages' decisions (learned languages, approximate search, redaction, packing) can't be expressed in SQL.
 ORACLE_SQL = None
@@ -50,6 +51,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
