@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom import config
@@ -15,6 +15,7 @@ from chunkloom.operators import chunks as ch
 from chunkloom.operators import text as tx
 from chunkloom.operators import vectors as vx
 from chunkloom.operators.encoders import HashContextEncoder, TokenEncoder, token_hash
+from chunkloom.operators.order import numbered
 
 
 class LateChunker:
@@ -62,7 +63,7 @@ class LateChunker:
         post = vx.postprocessed(c["embedding"], Options(opts.dim, normalize=opts.normalize or opts.renormalize, half=opts.half))
         out = rows.select(*cols, post.alias("embedding"))
         if index:
-            out = out.select((F.row_number().over(Window.orderBy(id_col, "max_chunk_sents", "max_chunk_tokens", "chunk_idx")) - 1).alias("idx"), "*")
+            out = numbered(out, [id_col, "max_chunk_sents", "max_chunk_tokens", "chunk_idx"])
         return out if return_frame == "spark" else out.toPandas() if return_frame == "pandas" else out.toArrow()
 
     def encode_queries(self, queries: DataFrame, prompt: str | None = None, exclude_special_tokens: bool = True, id_col: str = "query_id", text_col: str = "text", max_length: int | None = None) -> DataFrame:
