@@ -436,14 +436,14 @@ _SIM = f"sim AS (SELECT q.id AS query_id, p.doc_id, avg(({_DOT}) / ({_LEN['p']}
 
 
 def _by_doc(spark, sf_dir) -> DataFrame:
-    """Average cosine of a document's chunks to a query: the mean of unit vectors, times the unit query, so chunks are reduced to one vector a document before queries come in."""
+    """Average cosine of a document's chunks to a query: the mean of unit vectors, times the unit query, so chunks are reduced to one vector a document before queries come in.  Adding 0 makes a negative zero positive."""
     unit = _chunks3(spark, sf_dir).where(vx.norm(F.col("embedding")) > 0).select("doc_id", vx.normalized(F.col("embedding")).alias("u"))
     one = unit.groupBy("doc_id").agg(F.array(*(F.avg(F.get("u", F.lit(d))) for d in range(q.D))).alias("embedding"))
     unit_q = _queries(spark, sf_dir).select("query_id", vx.normalized(F.col("embedding")).alias("q"))
-    return one.crossJoin(unit_q).select("query_id", "doc_id", F.round(vx.dot(F.col("embedding"), F.col("q")), 5).alias("similarity"))
+    return one.crossJoin(unit_q).select("query_id", "doc_id", (F.round(vx.dot(F.col("embedding"), F.col("q")), 5) + 0.0).alias("similarity"))
 
 
-@query(_CHUNK1 + f", {_SIM} SELECT query_id, doc_id, round(s, 5) AS similarity FROM sim")
+@query(_CHUNK1 + f", {_SIM} SELECT query_id, doc_id, round(s, 5) + 0.0::DOUBLE AS similarity FROM sim")
 def doc_avg_similarity(spark, sf_dir):
     return _by_doc(spark, sf_dir)
 
