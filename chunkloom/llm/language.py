@@ -95,6 +95,8 @@ class Model:
             self.arcs.append(tuple(arcs.T))
             base += len(move)
         self.states = base
+        if self.states * self.width * 2 >= 1 << 31:
+            raise ValueError(f"{len(self.names)} languages of {self.width - 1} symbols need too large a table; label fewer languages or lower sample_symbols")
         self.table: np.ndarray | None = None
 
     def __getstate__(self) -> dict:

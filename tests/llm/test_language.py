@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from chunkloom.llm import language as la
 
@@ -93,3 +94,9 @@ def test_automaton_reads_exactly_the_substrings():
         todo += [(t, w + bytes([c])) for c, t in move[s].items()]
     assert read - {b""} == subs
     assert np.isfinite(la.Model({"a": text}).log_size).all()
+
+
+def test_a_table_beyond_its_entries_is_refused(monkeypatch):
+    monkeypatch.setattr(la, "suffix_automaton", lambda text: [{}] * (1 << 23))
+    with pytest.raises(ValueError, match="languages"):
+        la.Model({"a": bytes(range(97, 256))})
