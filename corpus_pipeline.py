@@ -1,7 +1,7 @@
 """From documents to training windows: five stages, each on all that the stage before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each stage's table to the session's shared
-folder as Parquet and reads it again as the next one's docs.  All stages but the last return the columns of
+folder as Parquet and reads it again as the next one's docs; a stage's table goes when the next one's is whole.  All stages but the last return the columns of
 documents.  Nulls in any column, empty tables, repeated rows and extra columns are allowed, see each operator.
 """
 
@@ -52,7 +52,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.forget(*old)
+        old = (docs,)
     return docs
