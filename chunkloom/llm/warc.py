@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from chunkloom.llm.common import columns, filesystem, place, publish
 
 BLOCK_LINES, DATE = 300, "2024-01-01T00:00:00Z"
+#: Bytes of records that a look-up task fetches when all of an archive is wanted.
+FETCH_BYTES = 128 << 20
 
 
 def url_key(url: Column) -> Column:
@@ -85,10 +87,10 @@ def parse(member: bytes) -> dict:
 
 
 class Archive:
-    """A folder of WARC files with its index.  ``shards``: (first key, name) of each shard of blocks, sorted."""
+    """A folder of WARC files with its index.  ``shards``: (first key, name) of each shard of blocks, sorted; ``size``: bytes of all records."""
 
-    def __init__(self, folder: str, shards: list[tuple[str, str]], captures: int):
-        self.folder, self.shards, self.captures = folder, shards, captures
+    def __init__(self, folder: str, shards: list[tuple[str, str]], captures: int, size: int):
+        self.folder, self.shards, self.captures, self.size = folder, shards, captures, size
 
 
 def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = BLOCK_LINES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> Archive:
@@ -129,10 +131,10 @@ def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = B
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"index-{TaskContext.get().partitionId():06d}"
         directory: list[tuple[str, int, int, int]] = []
-        total = 0
+        total = held = 0
 
         def blocks() -> Iterator[bytes]:
-            nonlocal total
+            nonlocal total, held
             lines: list[str] = []
             first, at = "", 0
 
@@ -151,6 +153,7 @@ def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = B
                         first = key
                     lines.append(json.dumps([key, *rest]) + "\n")
                     total += 1
+                    held += rest[4]
                     if len(lines) == block_lines:
                         yield block()
             if lines:
@@ -159,12 +162,13 @@ def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = B
         publish(f"{out}/{name}.cdx.gz", blocks())
         if directory:
             publish(f"{out}/{name}.dir", iter([_directory(directory)]))
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name]), pa.array([total])], ["first", "name", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name]), pa.array([total]), pa.array([held])], ["first", "name", "lines", "size"])
 
     ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    ordered.mapInArrow(index, "first string, name string, lines bigint").write.parquet(f"{out}/shards")
-    shards = sorted((r.first, r.name, r.lines) for r in spark.read.schema("first string, name string, lines bigint").parquet(f"{out}/shards").collect())
-    return Archive(out, [(f, n) for f, n, _ in shards], sum(n for _, _, n in shards))
+    made_index = ordered.mapInArrow(index, "first string, name string, lines bigint, size bigint")
+    made_index.write.parquet(f"{out}/shards")
+    shards = sorted(map(tuple, spark.read.schema(made_index.schema).parquet(f"{out}/shards").collect()))
+    return Archive(out, [(f, n) for f, n, _, _ in shards], sum(s[2] for s in shards), sum(s[3] for s in shards))
 
 
 def _directory(rows: list[tuple[str, int, int, int]]) -> bytes:
@@ -235,8 +239,12 @@ class Reader:
         return parse(self._file(file).read_at(length, offset))
 
 
-def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
-    """(urlkey, page_id, url, html) for every capture of each distinct key of the one-column table; unknown and null keys give no rows."""
+def look_up(archive: Archive, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(urlkey, page_id, url, html) for every capture of each distinct key of the one-column table; unknown and null keys give no rows.
+
+    Keys are a small part of what a task reads, so the number of tasks is set (the session's shuffle partitions by default) and not left to the size of the keys.
+    """
+    tasks = tasks or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(archive)
@@ -257,7 +265,7 @@ def look_up(archive: Archive, keys: DataFrame) -> DataFrame:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["urlkey", "page_id", "url", "html"])
 
-    one = keys.toDF("key").where("key is not null").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    one = keys.toDF("key").where("key is not null").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return one.mapInArrow(run, "urlkey string, page_id bigint, url string, html string")
 
 
@@ -300,5 +308,5 @@ def round_trip(pages: DataFrame, **how) -> DataFrame:
     """(page_id, url, urlkey, html_chars, html_md5) of each page, archived and fetched again by its key through the index."""
     archive = write_archive(pages, **how)
     keys = columns(pages, how.get("url_col", "url")).toDF("url").select(url_key(F.col("url")))
-    got = look_up(archive, keys)
+    got = look_up(archive, keys, max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-archive.size // FETCH_BYTES)))
     return got.select("page_id", "url", "urlkey", F.length("html").cast("bigint").alias("html_chars"), F.md5("html").alias("html_md5"))
