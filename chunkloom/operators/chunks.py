@@ -164,15 +164,14 @@ def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncode
     """(id, sents, __chunk): a row for each chunk with the fields of ``PLAN`` and ``embedding``; vectors are not post-processed."""
     enc = encoder or HashContextEncoder(options.dim, options.context)
     dims = min(enc.dim, options.truncate_dims or enc.dim)
-    item = pa.struct([*_PLAN_TYPE, ("embedding", pa.list_(pa.float64()))])
+    item = [*_PLAN_TYPE, pa.field("embedding", pa.list_(pa.float64()))]
     lead = np.array([hash_token(w) for w in plan.prompt_tokens], dtype=np.int64)
     ends = np.array([hash_token(CLS), hash_token(SEP)], dtype=np.int64)
 
     @F.arrow_udf(f"array<struct<{PLAN.replace(' ', ': ').replace(',:', ',')}, embedding: array<double>>>")
     def run(hashes: pa.Array, counts: pa.Array) -> pa.Array:
         special = enc.tokens(ends)[:, :dims]
-        fields = [f.name for f in _PLAN_TYPE]
-        out = []
+        flat, sizes = [], [0]
         for h, c in zip(hashes, counts):
             h = h.values.to_numpy() if h.is_valid else np.zeros(0, dtype=np.int64)
             rows = plan.rows(c.as_py() or [])
@@ -197,8 +196,14 @@ def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncode
                 i = j
             if plan.deduplicate:
                 chunks = _deduplicated(chunks, plan.deduplicate)
-            out.append([dict(zip(fields, r)) | {"embedding": v.tolist()} for r, v in chunks])
-        return pa.array(out, pa.list_(item))
+            flat += chunks
+            sizes.append(len(flat))
+        # Columns of flat values, not a Python object for every chunk.
+        values = list(zip(*(r for r, _ in flat))) or [()] * len(_PLAN_TYPE)
+        vectors = np.concatenate([v for _, v in flat]) if flat else np.zeros(0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dims, pa.int32()), pa.array(vectors, pa.float64()))
+        rows = pa.StructArray.from_arrays([*(pa.array(v, f.type) for v, f in zip(values, _PLAN_TYPE)), lists], fields=item)
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
 
     pre = prepared(docs, id_col, text_col, method)
     return pre.select(id_col, "sents", F.explode(run("hashes", "counts")).alias("__chunk"))
