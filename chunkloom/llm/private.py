@@ -85,25 +85,43 @@ def ip(t: str, i: int) -> Span | None:
     return a, b, "ip"
 
 
-def _groups(t: str, a: int, b: int, seps: str) -> tuple[int, int]:
-    """Widens a run of digits by further runs behind single separators."""
-    while b + 1 < len(t) and t[b] in seps and t[b + 1] in _DIGIT:
-        b = _right(t, b + 1, _DIGIT)
-    while a > 1 and t[a - 1] in seps and t[a - 2] in _DIGIT:
-        a = _left(t, a - 1, _DIGIT)
-    return a, b
-
-
-def card(t: str, i: int) -> Span | None:
-    """13 to 19 digits with a right check digit, whole or in groups split by single blanks or hyphens."""
-    a, b = _left(t, i, _DIGIT), _right(t, i, _DIGIT)
-    for x, y in ((a, b), _groups(t, a, b, " -")):
-        digits = t[x:y].replace(" ", "").replace("-", "")
-        whole = y - x == len(digits)
-        if 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and (whole or all(len(g) >= 3 for g in re.split("[ -]", t[x:y]))):
-            if not (x and (t[x - 1].isalnum() or t[x - 1] == "_")) and not (y < len(t) and (t[y].isalnum() or t[y] == "_")):
-                return x, y, "card"
-    return None
+_RUN, _CHAIN = re.compile("[0-9]+"), re.compile("[0-9]+(?:[ -][0-9]+)*")
+_SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
+
+
+def cards(t: str, a: int) -> tuple[int, list[Span]]:
+    """The end of the chain of digit groups, split by single blanks or hyphens, that begins at a, and the cards in it.
+
+    A card has 13 to 19 digits with a right check digit: one group, or neighbouring groups of 3 digits or more.  Of
+    overlapping ones a single group goes first, then the whole chain, then the usual groups with one kind of separator;
+    a hyphen binds closer than a blank, and of groups that begin with 2 those that are issued (2221 to 2720) go first.
+    """
+    end = _CHAIN.match(t, a).end()
+    groups = [m.span() for m in _RUN.finditer(t, a, end)]
+    options = []
+    for j, (x, first) in enumerate(groups):
+        if t[x] not in "23456" or (x and (t[x - 1].isalnum() or t[x - 1] == "_")):
+            continue
+        n = 0
+        for k in range(j, len(groups)):
+            lo, y = groups[k]
+            n += y - lo
+            if n > 19 or (k > j and min(first - x, y - lo) < 3):
+                break
+            if n < 13 or (y < len(t) and (t[y].isalnum() or t[y] == "_")) or not luhn(t[x:y].replace(" ", "").replace("-", "")):
+                continue
+            usual = tuple(e - s for s, e in groups[j : k + 1]) in _SHAPES
+            inner = {t[e] for _, e in groups[j:k]}
+            torn = " " in inner and ((x > a and t[x - 1] == "-") or (y < end and t[y] == "-"))
+            rank = 0 if k == j else 1 if (x, y) == (a, end) else 4 - usual - (len(inner) == 1) + torn + (t[x] == "2" and not "2221" <= t[x : x + 4] <= "2720")
+            options.append((rank, x, -y))
+    taken: set[int] = set()
+    found = []
+    for _, x, y in sorted(options):
+        if taken.isdisjoint(range(x, -y)):
+            taken.update(range(x, -y))
+            found.append((x, -y, "card"))
+    return end, sorted(found)
 
 
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
@@ -111,14 +129,14 @@ _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _IBAN = re.compile(r"([A-Z]{2})\d{2}(?: ?[A-Z0-9]){11,30}")
 
 
-def phone(t: str, i: int, floor: int) -> Span | None:
-    """A number written with a plus sign, a bracketed area code or as 3-3-4 digits."""
+def phone(t: str, i: int, floor: int, top: int) -> Span | None:
+    """A number written with a plus sign, a bracketed area code or as 3-3-4 digits, that ends at ``top`` at the latest."""
     a = i
     while a > floor and i - a < 24 and t[a - 1] in "0123456789+()-. ":
         a -= 1
     for s in range(a, i + 1):
         if t[s] in "+(0123456789" and (s == 0 or not (t[s - 1].isalnum() or (t[s] in _DIGIT and t[s - 1] in "-.+(")) or (t[s] == "+" and not t[s - 1].isalnum())):
-            m = _PHONE.match(t, s)
+            m = _PHONE.match(t, s, top)
             if m and m.end() > i and 8 <= sum(c in _DIGIT for c in m[0]) <= 15:
                 return s, m.end(), "phone"
     return None
@@ -214,13 +232,30 @@ def find(text: str) -> list[Span]:
         _shared.append(_automaton())
     out: list[Span] = []
     done = -1  # digits before this place are settled
+    floor = chain = 0  # where the last number found and the chain of groups end
+    held: list[Span] = []  # the chain's cards, the first one last
     for end, (kind, size) in _shared[0].iter(_lower(text)):
         i = end + 1 - size
         if kind == "digit":
             if i < done:
                 continue
-            got = ip(text, i) or iban(text, i) or card(text, i) or ssn(text, i) or phone(text, i, 0)
+            if i >= chain:
+                chain, held = cards(text, max(floor, _left(text, i, _DIGIT)))
+                held.reverse()
+            while held and held[-1][1] <= i:
+                held.pop()
+            card = held[-1] if held and held[-1][0] <= i else None
+            got = ip(text, i) or iban(text, i) or card or ssn(text, i)
+            if not got:
+                near = held[-1:]
+                if not near and text[chain : chain + 1] in (")", ".") and (m := _RUN.search(text, chain, chain + 3)):
+                    near = cards(text, m.start())[1]
+                got = phone(text, i, 0, near[0][0] if near else len(text))
             done = got[1] if got else _right(text, i, _DIGIT) - 1
+            if got:
+                floor = done
+                if got is not card:
+                    chain = 0
         elif kind == "@":
             got = email(text, i, 0)
         elif kind == "://":

@@ -45,6 +45,32 @@ def test_boundaries(text, want):
         assert got == want
 
 
+CARD = "4944 3394 9042 9605"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"{CARD} 12/27", [("card", CARD)]),
+        (f"2024-01-15 {CARD}", [("card", CARD)]),
+        (f"5 {CARD} 2024-01-15 7", [("card", CARD)]),
+        (f"{CARD} 5500-0000-0000-0004", [("card", CARD), ("card", "5500-0000-0000-0004")]),
+        (f"{CARD}-3782 822463 10005 {CARD}", [("card", CARD), ("card", "3782 822463 10005"), ("card", CARD)]),
+        (f"212-555-0100 {CARD} 123-45-6789", [("phone", "212-555-0100"), ("card", CARD), ("ssn", "123-45-6789")]),
+        (f"+1 (988) 555-2485 {CARD}", [("phone", "+1 (988) 555-2485"), ("card", CARD)]),
+        (f"212-555-0109 {CARD}", [("phone", "212-555-0109"), ("card", CARD)]),
+        ("4944 3394 9042 9606 12/27, 2024-01-15 49 44 33 94 90 42 96 05", []),
+    ],
+)
+def test_grouped_cards_beside_other_numbers(text, want):
+    assert kinds(text) == want
+
+
+def test_cards_in_every_place_of_long_chains():
+    assert len(kinds("12 " + f"{CARD} 12 " * 20_000)) == 20_000
+    assert kinds("12 " * 100_000) == []
+
+
 #: A plain reading of the kinds in the tables, by regular expressions over the whole text.
 BRUTE = {
     "email": r"[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
