@@ -147,11 +147,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
     kind = docs.schema[id_col].dataType.simpleString()
     texts = columns(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     sketch = stored(texts.mapInArrow(lambda it: _sketch(it, words, bands, rows), f"id {kind}, c1 bigint, c2 bigint, keys array<bigint>"), "sketch")
-    # Equal texts have equal keys: one of them stands for all.
+    # Equal texts have equal keys: one of them stands for all.  Other texts of a repeated id stay.
     rep = F.min("id").over(Window.partitionBy("c1", "c2"))
     named = sketch.select("id", "c1", "c2").withColumn("rep", rep)
-    exact = stored(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "exact")
-    one = sketch.join(exact.select(F.col("a").alias("id")), "id", "left_anti")
+    exact = stored(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "c1", "c2").distinct(), "exact")
+    one = sketch.join(exact.select(F.col("a").alias("id"), "c1", "c2"), ["id", "c1", "c2"], "left_anti")
     in_bucket = Window.partitionBy("key")
     members = (
         one.select("id", F.explode("keys").alias("key"))
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
     ids = members.select("id").distinct()
     sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, words), f"id {kind}, els array<bigint>, ws array<int>"), "sets")
     first = _verified(star, sets, kind, threshold)
-    edges = exact.unionByName(first.where("ok").select("a", "b"))
+    edges = exact.select("a", "b").unionByName(first.where("ok").select("a", "b"))
     roots = stored(components(edges), "components")
     # Buckets that still hold several components: all pairs across them.
     labelled = members.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
@@ -185,13 +185,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The table without near duplicates: of each group the document with the least id stays.
 
-    All columns stay.  Of rows that repeat an id, one stays (the least by a hash of text and all columns'
+    All columns stay.  Different texts of a repeated id are grouped apart, so that none goes for what another one
+    resembles.  Of rows that repeat an id and are left, one stays (the least by a hash of text and all columns'
     strings).  Rows with a null id stay, except that of equal rows one stays.
     """
-    drop = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("doc_id <> keep_id").select("doc_id")
-    gone, turn, null_key = fresh(docs, "gone_id", "turn", "null_key")
+    unit, gone, turn, null_key = fresh(docs, "unit", "gone_id", "turn", "null_key")
     i = F.col(f"`{id_col}`")
-    out = docs.join(drop.withColumnRenamed("doc_id", gone), i == F.col(gone), "left_anti")
+    docs_by = docs.withColumn(unit, F.when(i.isNotNull(), F.struct(i.alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))))
+    drop = near_duplicates(docs_by, id_col=unit, text_col=text_col, **how).where("doc_id <> keep_id").select("doc_id")
+    out = docs_by.join(drop.withColumnRenamed("doc_id", gone), F.col(unit) == F.col(gone), "left_anti")
     out = out.withColumn(null_key, F.when(i.isNull(), F.xxhash64(F.col(f"`{text_col}`"))))
     order = [F.xxhash64(F.col(f"`{text_col}`")), *(F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes if c != text_col and not kind.startswith(("map", "variant")))]
     w = Window.partitionBy(i, F.col(null_key)).orderBy(*order)

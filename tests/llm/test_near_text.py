@@ -125,6 +125,14 @@ def test_odd_rows(odd, table):
     assert sorted((r.doc_id for r in nt.without_duplicates(same).select("doc_id").collect()), key=str) == sorted([None, 3], key=str)
 
 
+def test_other_texts_of_a_repeated_id_are_searched_and_kept(table, prose):
+    a, b = prose(51, 80), prose(52, 80)
+    rows = table([(1, a), (5, a), (5, b), (9, edited(b, 40, 1)), (12, prose(53, 80))])
+    assert sorted(map(tuple, nt.near_duplicates(rows).collect())) == [(1, 1, 3), (5, 1, 3), (9, 1, 3)]
+    kept = sorted((r.doc_id, r.text) for r in nt.without_duplicates(rows).select("doc_id", "text").collect())
+    assert kept == [(1, a), (5, b), (12, prose(53, 80))]
+
+
 def test_empty(empty):
     assert nt.near_duplicates(empty).collect() == []
     assert nt.without_duplicates(empty).collect() == []
