@@ -71,6 +71,24 @@ def test_cards_in_every_place_of_long_chains():
     assert kinds("12 " * 100_000) == []
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("at 2001:db8::8a2e:370:7334.", [("ip", "2001:db8::8a2e:370:7334")]),
+        ("node:2001:0db8:85a3:0000:0000:8a2e:0370:7334: up", [("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334")]),
+        ("[fe80::1]:80 fe80::ab%eth0, FD12:3456:789A:1::1/64", [("ip", "fe80::1"), ("ip", "fe80::ab"), ("ip", "FD12:3456:789A:1::1")]),
+        ("::ffff:70.123.182.155 2a00:: fd::", [("ip", "::ffff:70.123.182.155"), ("ip", "2a00::")]),
+        ("12:30:45 std::cout face::b x[::2] 00:1b:44:11:3a:b7 ::1 2001:db8:1 abc::def", []),
+        ("LU28 0019 4006 4475 0000 CZ6508000000192000145399", [("iban", "LU28 0019 4006 4475 0000"), ("iban", "CZ6508000000192000145399")]),
+        ("GR1601101250000000012300695, HU42 1177 3016 1111 1018 0000 0000", [("iban", "GR1601101250000000012300695"), ("iban", "HU42 1177 3016 1111 1018 0000 0000")]),
+        ("RO49AAAA1B31007593840000; TR330006100519786457841326; MT84MALT011000012345MTLCAST001S", [("iban", "RO49AAAA1B31007593840000"), ("iban", "TR330006100519786457841326"), ("iban", "MT84MALT011000012345MTLCAST001S")]),
+        ("LU280019400644750001", []),
+    ],
+)
+def test_ipv6_and_ibans_of_all_countries(text, want):
+    assert kinds(text) == want
+
+
 #: A plain reading of the kinds in the tables, by regular expressions over the whole text.
 BRUTE = {
     "email": r"[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
