@@ -7,15 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkloom.sources.tables import stored
+
+#: ``monotonically_increasing_id`` has a row's partition above and its place in the partition below this bit.
+_PLACE_BITS = 33
+
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
-    """(idx, ...): 0-based numbers in the given order, which should be total.
+    """(idx, ...): 0-based numbers in the given order, which should be total; rows that tie get numbers in any order.
 
-    The table is range-partitioned; rows are numbered within their range, and only the ranges' sizes are added up in one place.
+    The table is range-partitioned and sorted once and stored with each row's partition and place, so that all that
+    follows sees the same partitions.  Only the partitions' sizes, a row each, are added up in one place.
     """
-    bins = F.spark_partition_id().alias("__range")
-    ranged = df.repartitionByRange(*order).select("*", bins)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    local = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    return local.join(before, "__range").select((F.col("__before") + F.col("__row") - 1).alias(name), *df.columns)
+    at, before, part = (f"__{name}_{x}" for x in ("at", "before", "part"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = stored(ranged, "numbered").withColumn(part, F.shiftright(at, _PLACE_BITS))
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    starts = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    number = F.col(before) + F.col(at).bitwiseAND((1 << _PLACE_BITS) - 1)
+    return rows.join(starts, part).select(number.alias(name), *(F.col(f"`{c}`") for c in df.columns))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from chunkloom.config import SEGMENTERS, member
 
-SENTENCE, GAP = r"[^.!?\n]+[.!?]*", r"[.!?\n]+"
-NOT_BLANK = r"[^ \t\r\f\x0B]"
+_BLANKS = r" \t\r\f\x0B"
+#: From the first character that isn't blank up to the closing marks, or up to the last one that isn't blank where a line or the text ends without any.
+SENTENCE = rf"[^.!?\n{_BLANKS}](?:[^.!?\n]*[.!?]+|[^.!?\n]*[^.!?\n{_BLANKS}]|)"
 TOKEN = r"[\p{L}\p{N}]+"
-_PY_SENTENCE, _PY_TOKEN, _PY_NOT_BLANK = re.compile(SENTENCE), re.compile(r"[^\W_]+"), re.compile(NOT_BLANK)
+_PY_SENTENCE, _PY_TOKEN = re.compile(SENTENCE), re.compile(r"[^\W_]+")
 _ABBREVIATION = re.compile(r"(?:\b(?:Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|etc|e\.g|i\.e|No|Fig|al|Inc|Ltd|Co)|\b(?:[A-Z]\.)*[A-Z])\.$")
 Offsets = list[tuple[int, int]]
 
@@ -25,8 +26,8 @@ def prompted(text: Column, prompt: str | None) -> Column:
 
 
 def sentence_texts(text: Column) -> Column:
-    """The sentences as strings, in the JVM, for when places aren't needed; null and blank texts have none."""
-    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), lambda s: s.rlike(NOT_BLANK))
+    """The sentences as strings without blanks around them, in the JVM, for when places aren't needed; null and blank texts have none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -35,7 +36,7 @@ def words(text: Column) -> Column:
 
 
 def _regex(text: str) -> Offsets:
-    return [m.span() for m in _PY_SENTENCE.finditer(text) if _PY_NOT_BLANK.search(m[0])]
+    return [m.span() for m in _PY_SENTENCE.finditer(text)]
 
 
 def _merged(text: str) -> Offsets:
@@ -50,7 +51,7 @@ def _merged(text: str) -> Offsets:
 
 
 def _starts(s: str) -> bool:
-    return s.lstrip()[:1].isupper()
+    return s[:1].isupper()
 
 
 def _from_cursor(text: str, sents: list[str]) -> Offsets:

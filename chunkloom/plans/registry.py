@@ -13,6 +13,7 @@ from chunkloom.operators import batches as bt
 from chunkloom.operators import chunks as ch
 from chunkloom.operators import text as tx
 from chunkloom.operators import vectors as vx
+from chunkloom.operators.order import numbered
 from chunkloom.plans import sql as q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,14 +76,11 @@ def sentence_split(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(tx.sentence_texts(F.col("text"))).alias("sent_id", "sentence"))
 
 
-@query(r"""
-    WITH parts AS (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?
-]+[.!?]*|[.!?
-]+') AS l FROM documents)),
+@query(rf"""
+    WITH parts AS (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{q.SENTENCE}|{q.GAP}') AS l FROM documents)),
     placed AS (SELECT doc_id, p, i, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM parts)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS sent_id, CAST(e - length(p) AS INT) AS start_at, CAST(e AS INT) AS end_at
-    FROM placed WHERE regexp_matches(p, '^[^.!?
-]') AND regexp_matches(p, '[^ \t\r\f\v]')""")
+    FROM placed WHERE NOT regexp_matches(p, '^{q.GAP}')""")
 def sentence_offsets(spark, sf_dir):
     return tx.sentences(docs(spark, sf_dir)).select("doc_id", "sent_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
@@ -246,12 +244,12 @@ def chunk_text(spark, sf_dir):
 
 
 def _encode(spark, sf_dir, options=None, **how):
-    how = {"prechunk": False, "max_length": 1 << 30, "return_text": False} | how
+    how = {"prechunk": False, "max_length": 1 << 30, "return_text": False, "keep_tail": True} | how
     return LateChunker(options).encode(docs(spark, sf_dir), **how)
 
 
 def _pooled_sql(size: int, overlap: int = 0, context: float = 0.5, extra: str = "") -> str:
-    win = f"win AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_sent) - 1 AS INT) AS chunk_idx, first_sent, last_sent FROM ({q.windows(size, overlap)}))"
+    win = f"win AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_sent) - 1 AS INT) AS chunk_idx, first_sent, last_sent FROM ({q.windows(size, overlap, True)}))"
     return _with(q.BASE, win, q.pooled("win", context)) + f" SELECT doc_id, chunk_idx, CAST(n_tokens AS INT) AS n_tokens, {', '.join(DIMS)} FROM pool"
 
 
@@ -269,7 +267,7 @@ _SPECIAL = {c: f"(((CAST('0x' || substr(md5('{c}'), 1, 8) AS BIGINT) >> {{s}}) &
 
 
 @query(
-    _with(q.BASE, f"win AS ({q.windows(2)})", "flag AS (SELECT *, first_sent = 0 AS a, last_sent = max(last_sent) OVER (PARTITION BY doc_id) AS b FROM win)", f"docsum AS (SELECT doc_id, sum(n) AS dn, {', '.join(f'sum(v{d}) AS c{d}' for d in range(q.D))} FROM sums GROUP BY doc_id)")
+    _with(q.BASE, f"win AS ({q.windows(2, 0, True)})", "flag AS (SELECT *, first_sent = 0 AS a, last_sent = max(last_sent) OVER (PARTITION BY doc_id) AS b FROM win)", f"docsum AS (SELECT doc_id, sum(n) AS dn, {', '.join(f'sum(v{d}) AS c{d}' for d in range(q.D))} FROM sums GROUP BY doc_id)")
     + f"""
     SELECT f.doc_id, f.first_sent, f.last_sent, {", ".join(q.rounded(f"CASE WHEN sum(s.n) + any_value(a::INT + b::INT) = 0 THEN 0 ELSE (sum(s.v{d}) + any_value(a::INT * {_SPECIAL[ch.CLS].format(s=4 * d)} + b::INT * {_SPECIAL[ch.SEP].format(s=4 * d)})) / (sum(s.n) + any_value(a::INT + b::INT)) + 0.5 * coalesce(any_value(c{d} / nullif(dn, 0)), 0) END", 6) + f" AS e{d}" for d in range(q.D))}
     FROM flag f JOIN sums s ON s.doc_id = f.doc_id AND s.sent_id BETWEEN f.first_sent AND f.last_sent JOIN docsum ON docsum.doc_id = f.doc_id GROUP BY f.doc_id, f.first_sent, f.last_sent"""
@@ -282,7 +280,7 @@ _LATE = [(1, None), (2, None), (3, None)]
 
 
 @query(
-    _with(q.BASE, "win AS (" + " UNION ALL ".join(f"SELECT {s} AS max_chunk_sents, * FROM ({q.windows(s)})" for s, _ in _LATE) + ")", q.pooled("win"))
+    _with(q.BASE, "win AS (" + " UNION ALL ".join(f"SELECT {s} AS max_chunk_sents, * FROM ({q.windows(s, 0, True)})" for s, _ in _LATE) + ")", q.pooled("win"))
     + f" SELECT doc_id, max_chunk_sents, first_sent, last_sent, CAST(last_sent - first_sent + 1 AS INT) AS num_sents, {', '.join(DIMS)} FROM pool"
 )
 def aligned_configs(spark, sf_dir):
@@ -338,12 +336,24 @@ def dedup_first(spark, sf_dir):
 
 @query(_with(q.SENTS, q.WORDS, q.COUNTS, f"win AS ({q.windows(2)})") + " SELECT CAST(row_number() OVER (ORDER BY doc_id, first_sent) - 1 AS BIGINT) AS idx, doc_id, first_sent FROM win")
 def chunk_reindex(spark, sf_dir):
-    """A global row number without a single-partition window: numbers of partitions of a range sort, then offsets."""
-    from chunkloom.operators.order import numbered
-
+    """A global row number without a single-partition window: places within the partitions of a range sort, then offsets."""
     return numbered(_windows(spark, sf_dir, 2).select("doc_id", "first_sent"), ["doc_id", "first_sent"])
 
 
+_IDX = " UNION ALL ".join(f"SELECT {s} AS max_chunk_sents, * FROM ({q.windows(s, 0, True)})" for s in (1, 3))
+
+
+@query(
+    _with(q.BASE, f"win AS (SELECT doc_id, max_chunk_sents, first_sent, last_sent FROM ({_IDX}))", q.pooled("win"))
+    + f""" SELECT CAST(row_number() OVER (ORDER BY doc_id, max_chunk_sents, first_sent) - 1 AS BIGINT) AS idx, doc_id, max_chunk_sents, CAST(row_number() OVER (PARTITION BY doc_id, max_chunk_sents ORDER BY first_sent) - 1 AS INT) AS chunk_idx,
+    (SELECT md5(string_agg(s.sent, ' ' ORDER BY s.sent_id)) FROM sents s WHERE s.doc_id = p.doc_id AND s.sent_id BETWEEN p.first_sent AND p.last_sent) AS digest, {', '.join(DIMS)} FROM pool p"""
+)
+def encode_indexed(spark, sf_dir):
+    """Whole chunk rows, texts and vectors included, with their number among all chunks."""
+    c = _encode(spark, sf_dir, max_chunk_sents=[1, 3], return_text=True, index=True)
+    return _dims(c.withColumn("digest", F.md5("chunk")), "idx", "doc_id", "max_chunk_sents", "chunk_idx", "digest")
+
+
 # --- vector functions
 
 
@@ -390,7 +400,7 @@ def vec_group_mean(spark, sf_dir):
 
 
 _Q = q.query_vectors("benchmark", "item_id")
-_CHUNK1 = _with(q.BASE, f"win AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_sent) - 1 AS INT) AS chunk_idx, first_sent, last_sent FROM ({q.windows(3)}))", q.pooled("win"), _Q)
+_CHUNK1 = _with(q.BASE, f"win AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_sent) - 1 AS INT) AS chunk_idx, first_sent, last_sent FROM ({q.windows(3, 0, True)}))", q.pooled("win"), _Q)
 _DOT = " + ".join(f"p.e{d} * q.e{d}" for d in range(q.D))
 _LEN = {t: "sqrt(" + " + ".join(f"{t}.e{d} * {t}.e{d}" for d in range(q.D)) + ")" for t in "pq"}
 
@@ -472,7 +482,7 @@ _PROMPT_SUM = {d: " + ".join(f"(((CAST('0x' || substr(md5('{w}'), 1, 8) AS BIGIN
 
 
 @query(
-    _with(q.BASE, f"win AS ({q.windows(2)})", f"docsum AS (SELECT doc_id, sum(n) + {len(PROMPT.split())} AS dn, {', '.join(f'sum(v{d}) + {_PROMPT_SUM[d]} AS c{d}' for d in range(q.D))} FROM sums GROUP BY doc_id)")
+    _with(q.BASE, f"win AS ({q.windows(2, 0, True)})", f"docsum AS (SELECT doc_id, sum(n) + {len(PROMPT.split())} AS dn, {', '.join(f'sum(v{d}) + {_PROMPT_SUM[d]} AS c{d}' for d in range(q.D))} FROM sums GROUP BY doc_id)")
     + f""" SELECT w.doc_id, w.first_sent, w.last_sent, {', '.join(q.rounded(f"CASE WHEN sum(s.n) = 0 THEN 0 ELSE sum(s.v{d}) / sum(s.n) + 0.5 * (any_value(c{d}) / any_value(dn)) END", 6) + f" AS e{d}" for d in range(q.D))}
     FROM win w JOIN sums s ON s.doc_id = w.doc_id AND s.sent_id BETWEEN w.first_sent AND w.last_sent JOIN docsum ON docsum.doc_id = w.doc_id GROUP BY w.doc_id, w.first_sent, w.last_sent"""
 )

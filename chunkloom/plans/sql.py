@@ -10,9 +10,12 @@ def rounded(x: str, digits: int) -> str:
     return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
-SENTS = """sents AS (
+#: Sentences begin and end with what isn't blank; see ``operators.text.SENTENCE``.
+SENTENCE = r"[^.!?\n \t\r\f\x0B](?:[^.!?\n]*[.!?]+|[^.!?\n]*[^.!?\n \t\r\f\x0B]|)"
+GAP = r"[.!?\n \t\r\f\x0B]+"
+SENTS = f"""sents AS (
     SELECT doc_id, unnest(l) AS sent, unnest(range(len(l))) AS sent_id
-    FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: regexp_matches(x, '[^ \\t\\r\\f\\v]')) AS l FROM documents WHERE text IS NOT NULL))"""
+    FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS l FROM documents WHERE text IS NOT NULL))"""
 WORDS = """words AS (
     SELECT doc_id, sent_id, sent, regexp_extract_all(lower(sent), '[\\p{L}\\p{N}]+') AS w FROM sents)"""
 COUNTS = "counts AS (SELECT doc_id, sent_id, sent, len(w) AS n FROM words)"
@@ -27,11 +30,12 @@ BASE = f"{SENTS}, {WORDS}, {COUNTS}, {TOKENS}, {SUMS}"
 _E = ", ".join(f"e{d}" for d in range(D))
 
 
-def windows(size: int, overlap: int = 0) -> str:
-    """(doc_id, first_sent, last_sent) of sliding windows over ``counts``."""
+def windows(size: int, overlap: int = 0, tail: bool = False) -> str:
+    """(doc_id, first_sent, last_sent) of sliding windows over ``counts``; with a tail, the last one may be shorter."""
+    end = f"greatest(1, n - {overlap})" if tail else f"n - least({size}, n) + 1"
     return f"""
-        SELECT doc_id, CAST(s AS INT) AS first_sent, CAST(s + least({size}, n) - 1 AS INT) AS last_sent
-        FROM (SELECT doc_id, n, unnest(range(0, n - least({size}, n) + 1, {size - overlap})) AS s FROM (SELECT doc_id, count(*) AS n FROM counts GROUP BY doc_id))"""
+        SELECT doc_id, CAST(s AS INT) AS first_sent, CAST(least(s + {size}, n) - 1 AS INT) AS last_sent
+        FROM (SELECT doc_id, n, unnest(range(0, {end}, {size - overlap})) AS s FROM (SELECT doc_id, count(*) AS n FROM counts GROUP BY doc_id))"""
 
 
 def greedy(most: int, sents: int | None = None, overlap: int = 0, split: bool = True) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,16 +14,38 @@ FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local session without one gets its own."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a local session without one gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """The table written to the shared folder and read again: later work doesn't repeat what made it."""
+    spark = df.sparkSession
+    df.write.parquet(at := place(spark, tag))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, if they see that path; elsewhere ship it with ``--py-files``."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from chunkloom.api import LateChunker
-from chunkloom.sources.tables import shared_folder
+from chunkloom.sources.tables import place
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +26,7 @@ def encode(stream: DataFrame, chunker: LateChunker, out: str, checkpoint: str, *
 
 def encode_once(spark: SparkSession, path: str, chunker: LateChunker, **how) -> DataFrame:
     """Runs all that is there through the stream and returns the chunks."""
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = place(spark, "stream")
     q = encode(read(spark, path), chunker, f"{at}/out", f"{at}/checkpoint", **how)
     q.awaitTermination()
     if q.exception():

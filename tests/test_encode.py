@@ -93,7 +93,7 @@ def test_text_and_no_token_lost(docs):
     for i, t in text.items():
         assert said.get(i, []) == tx._PY_TOKEN.findall(t or "")
     whole = {r.chunk_idx: r.chunk for r in LateChunker().encode(docs.where("doc_id = 1"), max_chunk_sents=2).collect()}
-    assert whole == {0: "Machine learning is AI.  It enables learning."}
+    assert whole == {0: "Machine learning is AI. It enables learning."}
 
 
 def test_prompts(docs):

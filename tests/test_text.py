@@ -17,13 +17,15 @@ def test_both_ways_to_find_sentences_agree(odd):
     b = {(r.doc_id, r.pos): r.col for r in odd.select("doc_id", F.posexplode(tx.sentence_texts(F.col("text")))).collect()}
     assert a == b and not {2, 3, 4} & {d for d, _ in a}
     text = dict(ODD)
-    assert all(text[r.doc_id][r.start : r.end] == r.text for r in tx.sentences(odd).collect())
+    assert all(text[r.doc_id][r.start : r.end] == r.text == r.text.strip(" \t\r\f\v") != "" for r in tx.sentences(odd).collect())
+    assert [t for (d, _), t in sorted(a.items()) if d == 1] == ["Hello world.", "How are you?", "Fine!"]
+    assert tx.sentence_offsets(" a b \r\n c .. d! \t") == [(1, 4), (8, 12), (13, 15)]
 
 
 def test_abbreviations():
     t = "Dr. Smith went to Washington. He met with U.S. officials."
-    assert [t[a:b].strip() for a, b in tx.sentence_offsets(t, "regex-abbrev")] == ["Dr. Smith went to Washington.", "He met with U.S. officials."]
-    assert tx.sentence_offsets("") == [] and tx.sentence_offsets(["a. b.", ""]) == [[(0, 2), (2, 5)], []]
+    assert [t[a:b] for a, b in tx.sentence_offsets(t, "regex-abbrev")] == ["Dr. Smith went to Washington.", "He met with U.S. officials."]
+    assert tx.sentence_offsets("") == [] and tx.sentence_offsets(["a. b.", ""]) == [[(0, 2), (3, 5)], []]
     with pytest.raises(ValueError, match="Invalid method"):
         tx.sentence_offsets("x", "none")
     for missing in ("blingfire", "nltk", "pysbd", "syntok"):

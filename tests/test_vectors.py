@@ -79,6 +79,24 @@ def test_masked_mean(spark):
     assert got == {(1, 0): 2.0, (1, 1): 4.0, (2, 0): 0.0, (2, 1): 0.0}
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_wide_rows_have_no_gaps_and_no_repeats(spark, adaptive):
+    """More than one range partition, of rows whose width differs, in whatever way Spark joins small partitions."""
+    wide = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("a"), F.expr("id % 3").alias("b"), F.repeat(F.sha2(F.col("id").cast("string"), 256), (F.col("id") % 9).cast("int")).alias("payload"), F.array(F.col("id").cast("double")).alias("v"))
+    keys = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "13"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = numbered(wide, ["a", "b"])
+        assert got.columns == ["idx", "a", "b", "payload", "v"]
+        assert tuple(got.agg(F.count("*"), F.countDistinct("idx"), F.min("idx"), F.max("idx"), F.sum((F.col("idx") != F.col("a")).cast("int"))).first()) == (60_000, 60_000, 0, 59_999, 0)
+        assert sorted(r.idx for r in numbered(wide.where("a < 50").select(F.lit(1).alias("a"), "b"), ["a"]).collect()) == list(range(50))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_order_and_batches(spark):
     df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "a long, b long").repartition(6)
     assert [(r.idx, r.a) for r in numbered(df, ["a"]).orderBy("idx").collect()] == [(i, i) for i in range(101)]
