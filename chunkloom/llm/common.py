@@ -8,7 +8,6 @@ Python code runs for each word.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkloom.sources.tables import forget, place, stored
+
+__all__ = ["forget", "place", "stored"]
 SLICE_BYTES = 2 << 20
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -167,37 +169,6 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share.  Only a local session may be without one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def place(spark: SparkSession, tag: str) -> str:
-    return f"{shared(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """The table written to the shared folder and read again: later work doesn't repeat what made it."""
-    spark = df.sparkSession
-    df.write.parquet(at := place(spark, tag))
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Removes tables that ``stored`` wrote and that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for f in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """At most so many rows an Arrow batch in what is run inside."""

@@ -1,4 +1,4 @@
-"""Connected components by contraction: every round maps each node to its least neighbour."""
+"""Connected components by alternating large and small stars, in a logarithmic number of rounds even for long chains."""
 
 from __future__ import annotations
 
@@ -8,32 +8,37 @@ from pyspark.sql import functions as F
 from chunkloom.llm.common import forget, stored
 
 
+def _large(e: DataFrame) -> DataFrame:
+    """Every node's greater neighbours are moved to its least one."""
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small(e: DataFrame) -> DataFrame:
+    """Every node and its lesser neighbours are moved to the least of them."""
+    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour at most, and those that have one are nobody's."""
+    ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select("b", F.lit(0), F.lit(1)).toDF("id", "up", "down"))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each node of the edges (a, b); root is the least id that it is connected with.
 
-    A round points each node at its least neighbour (or itself), then replaces both ends of each
-    edge by what they point at.  Ids only shrink, so the rounds end; all but local minima vanish in
-    each.  Loops and repeated edges do no harm, edges with a null end are ignored, no edges give no rows.
+    Every round writes its edges to the shared folder and removes the last one's; minima are pre-aggregated, so a node
+    with any number of neighbours needs no task of its own.  Loops and repeated edges do no harm, edges with a null end
+    are ignored, no edges give no rows.  The result reads one stored table, whatever the number of rounds.
     """
-    e = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    maps: list[DataFrame] = []
-    while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = stored(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("root")), "roots")
-        maps.append(m)
-        nxt = (
-            e.join(m.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a")
-            .join(m.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-            .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        done, e = e, stored(nxt, "edges")
-        forget(done)
-    if not maps:
-        return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    out = maps[0]
-    for m in maps[1:]:
-        step = m.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        out = out.join(step, "root", "left").select("id", F.coalesce("further", "root").alias("root"))
-    return out
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _stars(e):
+        far = stored(_large(e), "edges")
+        near = stored(_small(far), "edges")
+        forget(e, far)
+        e = near
+    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -67,10 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_embedding_near_dedup": f"""
-            WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-            SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.e, b.e), 5) AS cosine
-            FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {near_vectors.THRESHOLD}""",
+        "op2_embedding_near_dedup": near_vectors.ORACLE,
         "op3_url_filter": urls.oracle(),
         "op8_decontamination": contamination.ORACLE,
         "op10_warc_index": f"""
