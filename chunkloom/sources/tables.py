@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that ``stored`` has written inside the innermost ``scratch``.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
@@ -34,16 +38,33 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """The table written to the shared folder and read again: later work doesn't repeat what made it."""
     spark = df.sparkSession
     df.write.parquet(at := place(spark, tag))
+    if (own := _written.get()) is not None:
+        own.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes tables that ``stored`` wrote and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
         for f in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, f.rpartition("/")[0])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all tables that this thread stores inside: what is to last is stored outside."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        for at in _written.get() or ():
+            _remove(spark, at)
+        _written.reset(token)
 
 
 def importable(spark: SparkSession) -> None:

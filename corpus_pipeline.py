@@ -1,7 +1,8 @@
 """From documents to training windows: five stages, each on all that the stage before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each stage's table to the session's shared
-folder as Parquet and reads it again as the next one's docs; a stage's table goes when the next one's is whole.  All stages but the last return the columns of
+folder as Parquet and reads it again as the next one's docs.  A stage's table, and whatever tables the stage made on its way, go
+when they are used up; what stays is the last one's, whose windows hold their tokens and need nothing else.  All stages but the last return the columns of
 documents.  Nulls in any column, empty tables, repeated rows and extra columns are allowed, see each operator.
 """
 
@@ -9,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import common, contamination, language, near_text, packing, private
-from chunkloom.sources.tables import importable
+from chunkloom.llm import contamination, language, near_text, packing, private
+from chunkloom.sources.tables import forget, importable, place, scratch
 
 #: The stages' decisions (learned languages, approximate search, redaction, packing) can't be expressed in SQL.
 ORACLE_SQL = None
@@ -54,7 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-        common.forget(*old)
+        at = place(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(at)
+        docs = spark.read.schema(made.schema).parquet(at)
+        forget(*old)
         old = (docs,)
     return docs
