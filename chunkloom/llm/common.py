@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.sources.tables import forget, place, stored
+from chunkloom.sources.tables import forget, place, scratch, stored
 
-__all__ = ["forget", "place", "stored"]
+__all__ = ["forget", "place", "scratch", "stored"]
 SLICE_BYTES = 2 << 20
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import columns, stored
-from chunkloom.llm.tokenizer import VOCABULARY, encoding
+from chunkloom.llm.common import columns, lists, slices, stored
+from chunkloom.llm.tokenizer import VOCABULARY, encoding, token_ids
 
 CAPACITY, GROUP_ITEMS = 4096, 256
 
@@ -74,37 +74,45 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         parts += 1
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, salt) for each row; a null text has no tokens; salt is a hash of the text."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, start, size, ids): each row's tokens, cut every ``capacity`` tokens; a text without tokens has no piece."""
     kind = docs.schema[id_col].dataType.simpleString()
-    encoding(vocabulary)
+    encoding(vocabulary)  # a missing file is an error here, not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(vocabulary)
         for b in batches:
-            n = [len(enc.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2)], ["doc_id", "n_tokens", "salt"])
-
-    texts = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("salt", F.xxhash64("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, salt bigint")
+            for lo, hi in slices(b.column(1)):
+                part = b.slice(lo, hi - lo)
+                ids = [token_ids(t.as_py(), vocabulary) if t.is_valid else np.zeros(0, dtype=np.uint32) for t in part.column(1)]
+                n = np.array([len(x) for x in ids], dtype=np.int64)
+                cuts = -(-n // capacity)
+                row = np.repeat(np.arange(len(ids)), cuts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+                size = np.minimum(capacity, n[row] - start)
+                at = pa.array(row)
+                out = [part.column(0).take(at), part.column(2).take(at), pa.array(start), pa.array(size), lists(np.concatenate(ids).astype(np.int32), size, pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "start", "size", "ids"])
+
+    texts = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, start bigint, size bigint, ids array<int>")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(window_group, window_no, n_tokens, doc_ids, starts, lengths) for each window.
+    """(window_group, window_no, n_tokens, token_ids, doc_ids, text_hashes, starts, lengths) for each window.
 
-    Piece i of a window is tokens starts[i] up to starts[i] + lengths[i] of document doc_ids[i].  Every token of
-    every row is in exactly one window, no window exceeds ``capacity``.  Rows without tokens (null or empty texts) are in
-    none.  Repeated rows and repeated ids are packed as rows of their own, null ids are kept as null.  Whole windows of long texts have group -1 and
-    number null.  Other columns are not read; an empty table gives no windows.
+    ``token_ids`` are the window's tokens, piece after piece.  Piece i has lengths[i] of them; they are the tokens from starts[i] on of
+    the document with id doc_ids[i] and text hash text_hashes[i], so that texts can be put together again from windows alone, even
+    those of null and repeated ids.  Every token of every row is in exactly one window, no window exceeds ``capacity``.
+    Rows without tokens (null or empty texts) are in none.  Repeated rows and repeated ids are packed as rows of their own, null ids
+    are kept as null.  Whole windows of long texts have group -1 and number null.  Other columns are not read; an empty table gives no windows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    counts = stored(token_counts(docs, vocabulary, id_col, text_col).where("n_tokens > 0"), "counts")
-    whole = counts.where(F.col("n_tokens") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_tokens div {capacity} - 1) * {capacity}"), F.lit(capacity).cast("bigint"))).alias("start"))
-    full = whole.select(
-        F.lit(-1).cast("bigint").alias("window_group"), F.lit(None).cast("int").alias("window_no"), F.lit(capacity).cast("bigint").alias("n_tokens"),
-        F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), F.array(F.lit(capacity).cast("bigint")).alias("lengths"),
+    cut = stored(pieces(docs, capacity, vocabulary, id_col, text_col), "pieces")
+    full = cut.where(F.col("size") == capacity).select(
+        F.lit(-1).cast("bigint").alias("window_group"), F.lit(None).cast("int").alias("window_no"), F.col("size").alias("n_tokens"), F.col("ids").alias("token_ids"),
+        F.array("doc_id").alias("doc_ids"), F.array("text_hash").alias("text_hashes"), F.array("start").alias("starts"), F.array("size").alias("lengths"),
     )
-    rests = counts.select("doc_id", "salt", F.expr(f"n_tokens div {capacity} * {capacity}").alias("start"), F.expr(f"n_tokens % {capacity}").alias("size")).where("size > 0")
+    rests = cut.where(F.col("size") < capacity)
     groups = max(1, -(-rests.count() // group_items))
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +131,18 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        sizes = t.column("size").to_pylist()
-        windows = pack(sizes, capacity)
-        flat = pa.array([i for w in windows for i in w], pa.int64())
-        off = pa.array(np.append(0, np.cumsum([len(w) for w in windows])), pa.int32())
-        took = t.take(flat).combine_chunks()
-        lst = lambda c: pa.ListArray.from_arrays(off, took.column(c).combine_chunks())
+        sizes = t.column("size").to_numpy()
+        windows = pack(sizes.tolist(), capacity)
+        flat = np.array([i for w in windows for i in w], dtype=np.int64)
+        off = np.append(0, np.cumsum([len(w) for w in windows]))
+        took = t.take(pa.array(flat)).combine_chunks()
+        lst = lambda c: pa.ListArray.from_arrays(pa.array(off, pa.int32()), took.column(c).combine_chunks())
+        ends = np.append(0, np.cumsum(sizes[flat]))[off]
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), took.column("ids").combine_chunks().flatten())
         n = len(windows)
-        out = [pa.array([t.column("g")[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([sum(sizes[i] for i in w) for w in windows], pa.int64()), lst("doc_id"), lst("start"), lst("size")]
-        return pa.RecordBatch.from_arrays(out, ["window_group", "window_no", "n_tokens", "doc_ids", "starts", "lengths"])
+        out = [pa.array([t.column("g")[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(np.diff(ends)), tokens, lst("doc_id"), lst("text_hash"), lst("start"), lst("size")]
+        return pa.RecordBatch.from_arrays(out, ["window_group", "window_no", "n_tokens", "token_ids", "doc_ids", "text_hashes", "starts", "lengths"])
 
-    placed = rests.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, salt, 7), {groups})")).repartition("g").sortWithinPartitions("g", F.desc("size"), "doc_id", "salt", "start")
-    small = placed.select("g", "doc_id", "start", "size").mapInArrow(run, f"window_group bigint, window_no int, n_tokens bigint, doc_ids array<{kind}>, starts array<bigint>, lengths array<bigint>")
+    placed = rests.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, text_hash, 7), {groups})")).repartition("g").sortWithinPartitions("g", F.desc("size"), "doc_id", "text_hash", "start")
+    small = placed.mapInArrow(run, f"window_group bigint, window_no int, n_tokens bigint, token_ids array<int>, doc_ids array<{kind}>, text_hashes array<bigint>, starts array<bigint>, lengths array<bigint>")
     return small.unionByName(full)

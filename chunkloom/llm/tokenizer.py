@@ -24,6 +24,6 @@ def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
 def token_ids(text: str, path: str = VOCABULARY) -> np.ndarray:
     enc = encoding(path)
     try:
-        return np.array(enc.encode_ordinary(text), dtype=np.uint32)
+        return enc.encode_to_numpy(text, disallowed_special=())
     except UnicodeEncodeError:
-        return np.array(enc.encode_ordinary(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")), dtype=np.uint32)
+        return enc.encode_to_numpy(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), disallowed_special=())

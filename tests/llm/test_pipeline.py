@@ -5,11 +5,10 @@ import pytest
 
 import corpus_pipeline as cp
 from chunkloom.llm import contamination, language, near_text, packing, private, queries
-from chunkloom.llm import tokenizer as tk
 
 from .test_contamination import brute as brute_leaks
 from .test_near_text import brute_groups
-from .test_packing import covered
+from .test_packing import rebuilt, wanted
 
 
 def test_stages_equal_brute_force(spark, prose, table, tmp_path):
@@ -38,7 +37,7 @@ def test_stages_equal_brute_force(spark, prose, table, tmp_path):
     assert {r.doc_id: r.text for r in four.collect()} == clean and "<EMAIL>" in clean[203]
     assert all(x.columns == docs.columns for x in (one, two, three, four))
     five = named["packing"](spark, four, d)
-    covered(five.collect(), {i: len(tk.token_ids(t)) for i, t in clean.items()}, packing.CAPACITY)
+    assert rebuilt(five.collect(), packing.CAPACITY) == wanted(clean.items())
     assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, five.collect()))
 
 
