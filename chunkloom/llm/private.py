@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -73,45 +74,50 @@ def email(t: str, at: int, floor: int) -> Span | None:
     return a, at + 1 + len(".".join(labels)), "email"
 
 
-def ip(t: str, i: int) -> Span | None:
-    """Four numbers up to 255, neither part of a longer dotted number nor of a word."""
-    a, b = i, i
-    while a > 0 and (t[a - 1] in _DIGIT or t[a - 1] == "."):
-        a -= 1
-    b = i
-    while b < len(t) and (t[b] in _DIGIT or t[b] == "."):
-        b += 1
+_DOTTED = re.compile("[0-9.]+")
+
+
+def ip(t: str, a: int) -> tuple[int, Span | None]:
+    """The end of the run of digits and dots that begins at a, and, if it is an address, its span: four numbers
+    up to 255, neither part of a longer dotted number nor of a word."""
+    end = b = _DOTTED.match(t, a).end()
+    if b - a > 32:  # no address with any dots around it is worth so much
+        inner = t[a:b].strip(".")
+        if len(inner) > 15:
+            return end, None
     while a < b and t[a] == ".":
         a += 1
     while b > a and t[b - 1] == ".":
         b -= 1
     parts = t[a:b].split(".")
     if len(parts) != 4 or not all(0 < len(p) < 4 and int(p) < 256 and (len(p) == 1 or p[0] != "0") for p in parts):
-        return None
+        return end, None
     if (a and t[a - 1].isalnum()) or (b < len(t) and t[b].isalnum()):
-        return None
-    return a, b, "ip"
+        return end, None
+    return end, (a, b, "ip")
 
 
 _HEX = frozenset("0123456789abcdefABCDEF:.")
 _RANGES = [ipaddress.IPv6Network(n) for n in ("2000::/3", "fc00::/7", "fe80::/10", "::ffff:0:0/96", "64:ff9b::/96")]
 
 
-def ipv6(t: str, i: int) -> Span | None:
-    """A global, local or link-local address, or one that holds an IPv4 address, around the colon at i; :: and ::1 are nobody's."""
-    a, b = i, i
-    while a > 0 and i - a < 46 and t[a - 1] in _HEX:
-        a -= 1
-    while b < len(t) and b - i < 46 and t[b] in _HEX:
-        b += 1
+_HEX_RUN = re.compile("[0-9a-fA-F:.]+")
+
+
+def ipv6(t: str, a: int) -> tuple[int, Span | None]:
+    """The end of the run of hexadecimal digits, colons and dots that begins at a, and, if it is a global, local or link-local
+    address, or one that holds an IPv4 address, its span; :: and ::1 are nobody's."""
+    end = b = _HEX_RUN.match(t, a).end()
+    if b - a > 64 or t.count(":", a, b) < 2:
+        return end, None
     if a and t[a - 1].isalnum():  # "node:2001:db8::1"
         a = t.find(":", a, b)
         if t[a + 1 : a + 2] == ":":
-            return None
+            return end, None
     if b < len(t) and t[b].isalnum():
         b = t.rfind(":", a, b)
         if b < 1 or t[b - 1] == ":":
-            return None
+            return end, None
     while a < b and (t[a] == "." or (t[a] == ":" and t[a + 1 : a + 2] != ":")):
         a += 1
     while b > a and (t[b - 1] == "." or (t[b - 1] == ":" and t[b - 2] != ":")):
@@ -119,22 +125,25 @@ def ipv6(t: str, i: int) -> Span | None:
     try:
         at = ipaddress.IPv6Address(t[a:b])
     except ValueError:
-        return None
-    return (a, b, "ip") if a <= i and any(at in n for n in _RANGES) else None
+        return end, None
+    return end, (a, b, "ip") if any(at in n for n in _RANGES) else None
 
 
 _RUN, _CHAIN = re.compile("[0-9]+"), re.compile("[0-9]+(?:[ -][0-9]+)*")
 _SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)}
 
 
-def cards(t: str, a: int) -> tuple[int, list[Span]]:
-    """The end of the chain of digit groups, split by single blanks or hyphens, that begins at a, and the cards in it.
+def cards(t: str, a: int, stop: int = sys.maxsize) -> tuple[int, list[Span]]:
+    """The end of the chain of digit groups, split by single blanks or hyphens, that begins at a and goes up to ``stop``, and the cards in it.
 
     A card has 13 to 19 digits with a right check digit: one group, or neighbouring groups of 3 digits or more.  Of
     overlapping ones a single group goes first, then the whole chain, then the usual groups with one kind of separator;
     a hyphen binds closer than a blank, and of groups that begin with 2 those that are issued (2221 to 2720) go first.
     """
-    end = _CHAIN.match(t, a).end()
+    end = _RUN.match(t, a).end()
+    if end - a < 13 and t[end : end + 1] not in (" ", "-"):
+        return end, []
+    end = _CHAIN.match(t, a, stop).end()
     groups = [m.span() for m in _RUN.finditer(t, a, end)]
     options = []
     for j, (x, first) in enumerate(groups):
@@ -162,46 +171,45 @@ def cards(t: str, a: int) -> tuple[int, list[Span]]:
     return end, sorted(found)
 
 
-_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
-_SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
+_PHONE = re.compile(
+    r"(?<![^\W_])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
+    r"|(?<![^\W_])(?<![-.+(])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+)
+#: More than any of these numbers has.
+_PHONE_SIZE = 40
+_SSN = re.compile(r"(?<![^\W_])(?<!-)(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _IBAN = re.compile(r"([A-Z]{2})\d{2}(?: ?[A-Z0-9]){11,30}")
 
 
-def phone(t: str, i: int, floor: int, top: int) -> Span | None:
-    """A number written with a plus sign, a bracketed area code or as 3-3-4 digits, that ends at ``top`` at the latest."""
-    a = i
-    while a > floor and i - a < 24 and t[a - 1] in "0123456789+()-. ":
-        a -= 1
-    for s in range(a, i + 1):
-        if t[s] in "+(0123456789" and (s == 0 or not (t[s - 1].isalnum() or (t[s] in _DIGIT and t[s - 1] in "-.+(")) or (t[s] == "+" and not t[s - 1].isalnum())):
-            m = _PHONE.match(t, s, top)
-            if m and m.end() > i and 8 <= sum(c in _DIGIT for c in m[0]) <= 15:
-                return s, m.end(), "phone"
+def phone(t: str, i: int, top: int) -> Span | None:
+    """A number around the digit at i, written with a plus sign, a bracketed area code or as 3-3-4 digits, that ends at ``top`` at the latest."""
+    at, top = max(0, i - 24), min(top, i + _PHONE_SIZE)
+    while m := _PHONE.search(t, at, top):
+        if m.start() > i:
+            return None
+        if m.end() > i and 8 <= sum(c in _DIGIT for c in m[0]) <= 15:
+            return m.start(), m.end(), "phone"
+        at = m.start() + 1
     return None
 
 
 def ssn(t: str, i: int) -> Span | None:
-    a = i
-    while a > 0 and i - a < 11 and (t[a - 1] in _DIGIT or t[a - 1] == "-"):
-        a -= 1
-    m = _SSN.match(t, a)
-    return (a, m.end(), "ssn") if m and m.end() > i and not (a and t[a - 1].isalnum()) else None
+    """Three, two and four digits around the one at i, not part of a longer chain."""
+    m = _SSN.search(t, max(0, i - 10), i + 12)
+    return (m.start(), m.end(), "ssn") if m and m.start() <= i < m.end() else None
 
 
-def iban(t: str, i: int) -> Span | None:
-    """A country with a known length, and remainder 1 modulo 97; i is at a digit of the number."""
-    a = i
-    while a > 0 and i - a < 42 and (t[a - 1] in _ALNUM or t[a - 1] == " "):
-        a -= 1
-    for s in range(a, i):
-        if t[s : s + 2] in _IBAN_LENGTH and (s == 0 or not t[s - 1].isalnum()) and (m := _IBAN.match(t, s)):
-            need, e, n = _IBAN_LENGTH[m[1]], s, 0
-            while e < len(t) and n < need and (t[e] in _ALNUM or t[e] == " "):
-                n += t[e] != " "
-                e += 1
-            word = t[s:e].replace(" ", "")
-            if n == need and e > i and not (e < len(t) and t[e].isalnum()) and int("".join(str(int(c, 36)) for c in word[4:] + word[:4])) % 97 == 1:
-                return s, e, "iban"
+def iban(t: str, s: int) -> Span | None:
+    """A country with a known length, and remainder 1 modulo 97; s is at the country."""
+    if t[s : s + 2] not in _IBAN_LENGTH or (s and t[s - 1].isalnum()) or not (m := _IBAN.match(t, s)):
+        return None
+    need, e, n = _IBAN_LENGTH[m[1]], s, 0
+    while e < len(t) and n < need and (t[e] in _ALNUM or t[e] == " "):
+        n += t[e] != " "
+        e += 1
+    word = t[s:e].replace(" ", "")
+    if n == need and not (e < len(t) and t[e].isalnum()) and int("".join(str(int(c, 36)) for c in word[4:] + word[:4])) % 97 == 1:
+        return s, e, "iban"
     return None
 
 
@@ -249,6 +257,9 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(c, ("cue", len(c)))
     for k in ("akia", "asia"):
         a.add_word(k, ("key", 4))
+    for c in _IBAN_LENGTH:
+        for x in "0123456789":
+            a.add_word(c.lower() + x, ("iban", 3))
     for x in "0123456789":
         for y in "0123456789":
             a.add_word(x + y, ("digit", 2))
@@ -272,34 +283,64 @@ def find(text: str) -> list[Span]:
         _shared.append(_automaton())
     out: list[Span] = []
     done = -1  # digits before this place are settled
-    floor = chain = 0  # where the last number found and the chain of groups end
-    seen = 0  # where the last IPv6 address ends
+    floor = chain = dotted = 0  # where the last number found, the chain of groups and the run of digits and dots end
+    seen = 0  # where the last run of hexadecimal digits and colons ends
     held: list[Span] = []  # the chain's cards, the first one last
+    plain = False
+    address = account = None  # the run's address, the last account
     for end, (kind, size) in _shared[0].iter(_lower(text)):
         i = end + 1 - size
         if kind == "digit":
             if i < done:
                 continue
-            if i >= chain:
-                chain, held = cards(text, max(floor, _left(text, i, _DIGIT)))
-                held.reverse()
-            while held and held[-1][1] <= i:
-                held.pop()
-            card = held[-1] if held and held[-1][0] <= i else None
-            got = ip(text, i) or iban(text, i) or card or ssn(text, i)
-            if not got:
-                near = held[-1:]
-                if not near and text[chain : chain + 1] in (")", ".") and (m := _RUN.search(text, chain, chain + 3)):
-                    near = cards(text, m.start())[1]
-                got = phone(text, i, 0, near[0][0] if near else len(text))
-            done = got[1] if got else _right(text, i, _DIGIT) - 1
+            if i >= dotted:
+                a = i
+                while a > dotted and text[a - 1] in "0123456789.":
+                    a -= 1
+                dotted, address = ip(text, a)
+            got = address if address and address[0] <= i < address[1] else account if account and i < account[1] else None
             if got:
-                floor = done
-                if got is not card:
-                    chain = 0
+                done = floor = got[1]
+                if got is account:
+                    continue
+            else:
+                if i >= chain:
+                    a = max(floor, _left(text, i, _DIGIT))
+                    chain, held = cards(text, a)
+                    held.reverse()
+                    # Where no number can be, all groups but the last, which may go on behind a dot, are settled at once.
+                    plain = not held and not _SSN.search(text, max(0, a - 10), chain + 12) and not _PHONE.search(text, max(0, a - 24), chain + _PHONE_SIZE)
+                if plain:
+                    last = _left(text, chain, _DIGIT)
+                    done = last if last > i else chain - 1
+                    continue
+                while held and held[-1][1] <= i:
+                    held.pop()
+                card = held[-1] if held and held[-1][0] <= i else None
+                got = card or ssn(text, i)
+                if not got:
+                    near = held[-1:]
+                    if not near and text[chain : chain + 1] in (")", ".") and (m := _RUN.search(text, chain, chain + 3)):
+                        near = cards(text, m.start())[1]
+                    got = phone(text, i, near[0][0] if near else len(text))
+                done = got[1] if got else _right(text, i, _DIGIT) - 1
+                if got:
+                    floor = done
+                    if got is not card and held and held[-1][0] < floor:  # what was a card goes on in another number
+                        while held and held[-1][0] < floor:
+                            held.pop()
+                        if m := _RUN.search(text, floor, min(chain, floor + 2)):
+                            held += reversed(cards(text, m.start(), held[-1][0] if held else min(chain, floor + 160))[1])
+        elif kind == "iban":
+            got = iban(text, i) if not account or i >= account[1] else None
+            account = got or account
         elif kind == "colon":
-            got = ipv6(text, i) if i >= seen else None
-            seen = got[1] if got else seen
+            if i < seen:
+                continue
+            a = i
+            while a > seen and text[a - 1] in _HEX:
+                a -= 1
+            seen, got = ipv6(text, a)
         elif kind == "@":
             got = email(text, i, 0)
         elif kind == "://":
