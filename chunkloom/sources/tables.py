@@ -12,21 +12,23 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that ``stored`` has written inside the innermost ``scratch``.
-_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+#: Paths that ``stored`` has written inside each open ``scratch`` of this thread, the innermost last.
+_written: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("written", default=())
+#: The folders of local sessions for which none is set.
+_own: dict[str, str] = {}
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local session without one gets its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from ``spark.checkpoint.dir``, with its scheme; a local session without one gets its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not at:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+        at = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def place(spark: SparkSession, tag: str) -> str:
@@ -34,11 +36,14 @@ def place(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """The table written to the shared folder and read again: later work doesn't repeat what made it."""
+def stored(df: DataFrame, tag: str, lasts: bool = False) -> DataFrame:
+    """The table written to the shared folder and read again: later work doesn't repeat what made it.
+
+    Inside a ``scratch`` it goes with it, or, if it ``lasts``, with the one around that.
+    """
     spark = df.sparkSession
     df.write.parquet(at := place(spark, tag))
-    if (own := _written.get()) is not None:
+    for own in _written.get()[: -1 if lasts else None][-1:]:
         own.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -57,12 +62,12 @@ def forget(*tables: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, all tables that this thread stores inside: what is to last is stored outside."""
-    token = _written.set([])
+    """Removes, at its end, the tables that this thread has stored inside."""
+    token = _written.set((*_written.get(), []))
     try:
         yield
     finally:
-        for at in _written.get() or ():
+        for at in _written.get()[-1]:
             _remove(spark, at)
         _written.reset(token)
 
