@@ -7,20 +7,21 @@ Python code runs for each word.
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.sources.tables import forget, place, scratch, stored
 
 __all__ = ["forget", "place", "scratch", "stored"]
 SLICE_BYTES = 2 << 20
+#: ``weighted`` has 16 bits for a text's number.
+SLICE_ROWS = 1 << 16
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
@@ -77,14 +78,15 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text; a longer text is a range of its own."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text and at most ``rows`` texts; a longer text is a range of its own."""
     _, off = text_arrays(column)
     lo, n = 0, len(column)
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + rows)
+        yield lo, hi
+        lo = hi
 
 
 class Words:
@@ -136,7 +138,9 @@ class Words:
 
 
 def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, 48-bit shingle, occurrences), sorted; at most 65,536 texts a slice."""
+    """(text number, 48-bit shingle, occurrences), sorted, of a slice of texts."""
+    if len(doc) and int(doc.max()) >= SLICE_ROWS:
+        raise ValueError(f"more than {SLICE_ROWS} texts in a slice")
     key = np.sort(doc.astype(U) << U(48) | h >> U(16))
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
@@ -169,18 +173,6 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-@contextlib.contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """At most so many rows an Arrow batch in what is run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 def filesystem(uri: str):
     """(file system, path) for a URI or a local path, on the driver and in tasks."""
     from pyarrow import fs

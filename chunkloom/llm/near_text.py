@@ -10,7 +10,8 @@ similarity.  Documents that agree in all rows of a band share a bucket.
 Pairs from buckets are verified on whole weighted sets, without any cap: first each member of a bucket
 against the bucket's least member, then, within buckets that still hold more than one component,
 every pair across components.  So the groups are the components of all pairs that share a bucket and reach
-the threshold, whatever the size of a bucket.
+the threshold, whatever the size of a bucket.  Least members come from pre-aggregation, and the second round cuts a bucket
+into blocks whose pairs are joined apart, so that no bucket and no group of equal texts needs a task of its own.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import U, Words, batch_rows, columns, forget, fresh, lists, mix, slices, stored, weighted
+from chunkloom.llm.common import U, Words, columns, fresh, lists, mix, scratch, slices, stored, weighted
 from chunkloom.llm.components import components
 
 WORDS, BANDS, ROWS, THRESHOLD = 3, 30, 3, 0.45
+#: Members of a bucket that the second round joins with as many others at once.
+BLOCK = 512
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int, slots: int) -> np.ndarray:
@@ -130,13 +133,26 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1 <
 
 def _verified(pairs: DataFrame, sets: DataFrame, kind: str, threshold: float) -> DataFrame:
     """The pairs (a, b) with ``ok``: whether they reach the threshold."""
-    with batch_rows(pairs.sparkSession, 256):
-        other = sets.select(F.col("id").alias("b"), F.col("els").alias("els_b"), F.col("ws").alias("ws_b"))
-        full = pairs.join(other, "b").join(sets.withColumnRenamed("id", "a"), "a").select("a", "b", "els", "ws", "els_b", "ws_b")
-        return stored(full.mapInArrow(lambda it: _verify(it, threshold), f"a {kind}, b {kind}, ok boolean"), "verified")
+    other = sets.select(F.col("id").alias("b"), F.col("els").alias("els_b"), F.col("ws").alias("ws_b"))
+    full = pairs.join(other, "b").join(sets.withColumnRenamed("id", "a"), "a").select("a", "b", "els", "ws", "els_b", "ws_b")
+    return stored(full.mapInArrow(lambda it: _verify(it, threshold), f"a {kind}, b {kind}, ok boolean"), "verified")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _across(members: DataFrame, block: int) -> DataFrame:
+    """The pairs (a, b), a > b, of members (id, key, root) of a bucket with different roots.
+
+    A bucket's members are spread over blocks by hash, and each pair of blocks is a join key of its own.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    cut = members.join(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    cut = cut.withColumn("own", F.expr("cast(pmod(xxhash64(id, 31), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("right"), "id", "root")
+    x, y = cut.where("not right").alias("x"), cut.where("right or lo = hi").alias("y")
+    met = x.join(y, F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.root <> y.root and (x.lo < x.hi or x.id > y.id)"))
+    return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size) for each document of a group of two or more; keep_id is the group's least id.
 
     Rows with a null id or a text that is null or has no word are in no group.  Texts of fewer than
@@ -146,55 +162,57 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bands: int = BANDS, row
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = columns(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
-    sketch = stored(texts.mapInArrow(lambda it: _sketch(it, words, bands, rows), f"id {kind}, c1 bigint, c2 bigint, keys array<bigint>"), "sketch")
-    # Equal texts have equal keys: one of them stands for all.  Other texts of a repeated id stay.
-    rep = F.min("id").over(Window.partitionBy("c1", "c2"))
-    named = sketch.select("id", "c1", "c2").withColumn("rep", rep)
-    exact = stored(named.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "c1", "c2").distinct(), "exact")
-    one = sketch.join(exact.select(F.col("a").alias("id"), "c1", "c2"), ["id", "c1", "c2"], "left_anti")
-    in_bucket = Window.partitionBy("key")
-    members = (
-        one.select("id", F.explode("keys").alias("key"))
-        .withColumn("pivot", F.min("id").over(in_bucket))
-        .withColumn("top", F.max("id").over(in_bucket))
-        .where("pivot <> top")
-        .select("id", "key", "pivot")
-    )
-    members = stored(members, "members")
-    star = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    ids = members.select("id").distinct()
-    sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, words), f"id {kind}, els array<bigint>, ws array<int>"), "sets")
-    first = _verified(star, sets, kind, threshold)
-    edges = exact.select("a", "b").unionByName(first.where("ok").select("a", "b"))
-    roots = stored(components(edges), "components")
-    # Buckets that still hold several components: all pairs across them.
-    labelled = members.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
-    split = Window.partitionBy("key")
-    labelled = stored(labelled.withColumn("lo", F.min("root").over(split)).withColumn("hi", F.max("root").over(split)).where("lo <> hi").select("id", "key", "root"), "labelled")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    across = x.join(y, F.expr("x.key = y.key and x.id > y.id and x.root <> y.root")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = _verified(across.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, kind, threshold)
-    more = second.where("ok").select("a", "b")
-    if not more.isEmpty():
-        done, roots = roots, stored(components(edges.unionByName(more)), "components")
-        forget(done)
-    forget(sketch, members, sets, labelled)
-    return roots.withColumn("group_size", F.count("*").over(Window.partitionBy("root"))).select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id"), "group_size")
+    with scratch(docs.sparkSession):
+        sketch = stored(texts.mapInArrow(lambda it: _sketch(it, words, bands, rows), f"id {kind}, c1 bigint, c2 bigint, keys array<bigint>"), "sketch")
+        # Equal texts have equal keys: one of them stands for all.  Other texts of a repeated id stay.
+        reps = sketch.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
+        exact = stored(sketch.select("id", "c1", "c2").join(reps, ["c1", "c2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "c1", "c2").distinct(), "exact")
+        one = sketch.join(exact.select(F.col("a").alias("id"), "c1", "c2"), ["id", "c1", "c2"], "left_anti")
+        keyed = one.select("id", F.explode("keys").alias("key"))
+        pivots = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top").drop("top")
+        members = stored(keyed.join(pivots, "key").select("id", "key", "pivot"), "members")
+        star = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        ids = members.select("id").distinct()
+        sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, words), f"id {kind}, els array<bigint>, ws array<int>"), "sets")
+        first = _verified(star, sets, kind, threshold)
+        edges = exact.select("a", "b").unionByName(first.where("ok").select("a", "b"))
+        roots = stored(components(edges), "components")
+        # Buckets that still hold several components: all pairs across them.
+        labelled = stored(members.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root")).distinct(), "labelled")
+        second = _verified(_across(labelled, block).join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, kind, threshold)
+        more = second.where("ok").select("a", "b")
+        if not more.isEmpty():
+            roots = stored(components(edges.unionByName(more)), "components")
+        sizes = roots.groupBy("root").agg(F.count("*").alias("group_size"))
+        return stored(roots.join(sizes, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("keep_id"), "group_size"), "near-text", lasts=True)
+
+
+def _text(df: DataFrame, name: str) -> Column:
+    """A column as a string that tells values apart; null stays null."""
+    c = F.col(f"`{name}`")
+    kind = df.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(c)) if kind.startswith(("map", "array", "struct", "variant")) else c.cast("string")
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The table without near duplicates: of each group the document with the least id stays.
 
-    All columns stay.  Different texts of a repeated id are grouped apart, so that none goes for what another one
-    resembles.  Of rows that repeat an id and are left, one stays (the least by a hash of text and all columns'
-    strings).  Rows with a null id stay, except that of equal rows one stays.
+    All columns stay.  A document is an id with a text: different texts of a repeated id are documents of their own, of which those
+    go that resemble a kept one.  Of rows that agree in id and text, one stays (the least by a hash of all columns).  Rows
+    with a null id stay, except that of rows equal in all columns one stays; so do rows whose text is null or has no word.
     """
-    unit, gone, turn, null_key = fresh(docs, "unit", "gone_id", "turn", "null_key")
-    i = F.col(f"`{id_col}`")
-    docs_by = docs.withColumn(unit, F.when(i.isNotNull(), F.struct(i.alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))))
-    drop = near_duplicates(docs_by, id_col=unit, text_col=text_col, **how).where("doc_id <> keep_id").select("doc_id")
-    out = docs_by.join(drop.withColumnRenamed("doc_id", gone), F.col(unit) == F.col(gone), "left_anti")
-    out = out.withColumn(null_key, F.when(i.isNull(), F.xxhash64(F.col(f"`{text_col}`"))))
-    order = [F.xxhash64(F.col(f"`{text_col}`")), *(F.col(f"`{c}`").cast("string") for c, kind in docs.dtypes if c != text_col and not kind.startswith(("map", "variant")))]
-    w = Window.partitionBy(i, F.col(null_key)).orderBy(*order)
-    return out.withColumn(turn, F.row_number().over(w)).where(F.col(turn) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    unit, gone, key, order = fresh(docs, "unit", "gone_id", "row_key", "row_order")
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    every = [_text(docs, c) for c in docs.columns]
+    nulls = [F.concat(*(F.when(x.isNull(), "0").otherwise("1") for x in every))]
+    marked = docs.withColumn(unit, F.when(i.isNotNull(), F.struct(i.alias("id"), F.xxhash64(t).alias("h"))))
+    drop = near_duplicates(marked, id_col=unit, text_col=text_col, **how).where("doc_id <> keep_id").select(F.col("doc_id").alias(gone))
+    out = marked.join(drop, F.col(unit) == F.col(gone), "left_anti")
+    # Only rows whose key is repeated are grouped; texts of the others don't move.
+    whole = F.struct(F.xxhash64(*every, *nulls).alias("x"), F.xxhash64(F.lit(7), *every, *nulls).alias("y"))
+    out = out.withColumn(order, whole).withColumn(key, F.struct(i.alias("id"), F.when(i.isNull(), F.col(order)).alias("row"), F.when(i.isNotNull(), F.xxhash64(t)).alias("h")))
+    many = out.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias(gone))
+    single = out.join(many, F.col(key).eqNullSafe(F.col(gone)), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = out.join(many, F.col(key).eqNullSafe(F.col(gone)), "left_semi").groupBy(key).agg(F.min_by(row, F.col(order)).alias("row"))
+    return single.unionByName(again.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import U, columns, forget, fresh, lists, mix, stored
+from chunkloom.llm.common import U, columns, fresh, lists, mix, scratch, stored
 from chunkloom.llm.components import components
 
 THRESHOLD, RECALL, PROBES, SEED = 0.95, 0.99, 3, 20240613
@@ -278,39 +278,38 @@ def _rows(vectors: DataFrame, threshold: float, recall: float, probes: int, seed
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), lists(keys.ravel(), np.full(len(rows), keys.shape[1]), pa.int64())], ["node", "v", "keys"])
 
-    units = stored(base.select("id", "node").distinct(), "units")
-    made = base.select("node", "v").mapInArrow(hashed, f"node {kind.simpleString()}, v {number}, keys array<bigint>")
-    nodes = stored(made.groupBy("node").agg(F.first("v").alias("v"), F.first("keys").alias("keys")), "nodes")
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches):
-            node = t.column("node").combine_chunks()
-            for rows, i, j in _compared(t, threshold):
-                label = spanning(i, j, len(rows))
-                more = np.flatnonzero(label != np.arange(len(rows)))
-                if len(more):
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(rows[more])), node.take(pa.array(rows[label[more]]))], ["a", "b"])
-
-    members = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    edges = _units(members, nodes.select("node", "v"), "key", block).select("g", "lo", "hi", "side", "node", "v").mapInArrow(joined, f"a {kind.simpleString()}, b {kind.simpleString()}")
-    weights = stored(units.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "weights")
-    classes = stored(components(edges).withColumnsRenamed({"id": "node"}).join(weights, "node"), "classes")
-    whole = classes.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("w").alias("class_size"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches):
-            node, w = t.column("node").combine_chunks(), t.column("w").to_numpy()
-            for rows, i, j in _compared(t, threshold):
-                links = np.bincount(i, w[rows[j]], len(rows)) + np.bincount(j, w[rows[i]], len(rows))
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(rows)), pa.array(links.astype(np.int64))], ["node", "links"])
-
-    weighed = nodes.select("node", "v").join(classes.select("node", "w"), "node")
-    links = _units(classes.select("node", "root"), weighed, "root", block).select("g", "lo", "hi", "side", "node", "v", "w").mapInArrow(counted, f"node {kind.simpleString()}, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.join(whole, "root").join(links, "node").select("node", "class_id", "class_size", "links")
-    named = weights.join(known, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "w").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    out = stored(units.join(named, "node").select("id", "node", "class_id", "class_size", "n_links"), "near-vectors")
-    forget(units, nodes, weights, classes)
-    return out
+    with scratch(vectors.sparkSession):
+        units = stored(base.select("id", "node").distinct(), "units")
+        made = base.select("node", "v").mapInArrow(hashed, f"node {kind.simpleString()}, v {number}, keys array<bigint>")
+        nodes = stored(made.groupBy("node").agg(F.first("v").alias("v"), F.first("keys").alias("keys")), "nodes")
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _whole(batches):
+                node = t.column("node").combine_chunks()
+                for rows, i, j in _compared(t, threshold):
+                    label = spanning(i, j, len(rows))
+                    more = np.flatnonzero(label != np.arange(len(rows)))
+                    if len(more):
+                        yield pa.RecordBatch.from_arrays([node.take(pa.array(rows[more])), node.take(pa.array(rows[label[more]]))], ["a", "b"])
+
+        members = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+        edges = _units(members, nodes.select("node", "v"), "key", block).select("g", "lo", "hi", "side", "node", "v").mapInArrow(joined, f"a {kind.simpleString()}, b {kind.simpleString()}")
+        weights = stored(units.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "weights")
+        classes = stored(components(edges).withColumnsRenamed({"id": "node"}).join(weights, "node"), "classes")
+        whole = classes.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("w").alias("class_size"))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _whole(batches):
+                node, w = t.column("node").combine_chunks(), t.column("w").to_numpy()
+                for rows, i, j in _compared(t, threshold):
+                    links = np.bincount(i, w[rows[j]], len(rows)) + np.bincount(j, w[rows[i]], len(rows))
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(rows)), pa.array(links.astype(np.int64))], ["node", "links"])
+
+        weighed = nodes.select("node", "v").join(classes.select("node", "w"), "node")
+        links = _units(classes.select("node", "root"), weighed, "root", block).select("g", "lo", "hi", "side", "node", "v", "w").mapInArrow(counted, f"node {kind.simpleString()}, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+        known = classes.join(whole, "root").join(links, "node").select("node", "class_id", "class_size", "links")
+        named = weights.join(known, "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "w").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        return stored(units.join(named, "node").select("id", "node", "class_id", "class_size", "n_links"), "near-vectors", lasts=True)
 
 
 def without_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, probes: int = PROBES, seed: int = SEED, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

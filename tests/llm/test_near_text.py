@@ -103,6 +103,38 @@ def test_groups_equal_all_pairs(table, corpus):
     assert not any(100 <= i < 200 for i, _, _ in got)
 
 
+def test_large_buckets_are_cut_into_blocks(table, prose):
+    """Half of a text is common, so all share buckets and none reaches the threshold but the copies among them."""
+    common = prose(7, 60)
+    rows = [(i, common + " " + prose(400 + i, 70, 4000)) for i in range(30)] + [(100 + i, common + " " + edited(prose(400 + i, 70, 4000), 30, i)) for i in range(30)]
+    want = brute_groups(rows)
+    for block in (512, 8):
+        assert {tuple(r) for r in nt.near_duplicates(table(rows), bands=40, rows=1, block=block).collect()} == want
+    assert len(want) >= 50
+
+
+def test_more_texts_than_a_slice_has(table, spark):
+    """Slices are bounded by rows as well as by bytes: no text takes another's number."""
+    import pyarrow as pa
+
+    from chunkloom.llm import common
+
+    column = pa.array([f"w{i}" for i in range(70_000)])
+    assert [hi - lo for lo, hi in common.slices(column, 1 << 30)] == [65536, 4464]
+    with pytest.raises(ValueError):
+        common.weighted(np.array([65536]), np.array([1], dtype=U))
+    got = list(nt._sets(iter([pa.RecordBatch.from_arrays([pa.array(range(70_000)), column], ["id", "text"])]), 3))
+    assert sum(len(b) for b in got) == 70_000 and all(n == 1 for b in got for n in b.column(1).value_lengths().to_pylist())
+
+
+def test_nothing_is_left_behind(monkeypatch, table, corpus, tmp_path):
+    from chunkloom.sources import tables
+
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: f"file://{tmp_path}")
+    nt.near_duplicates(table(corpus[:40])).collect()
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["near-text"]
+
+
 def test_partitions_do_not_matter(table, corpus):
     one = sorted(map(tuple, nt.near_duplicates(table(corpus).coalesce(1)).collect()))
     assert one == sorted(map(tuple, nt.near_duplicates(table(corpus).repartition(7)).collect()))
@@ -122,7 +154,17 @@ def test_odd_rows(odd, table):
     assert sorted(kept, key=str) == sorted([None, 1, 2, 3, 4, 5, 6, 7, 8], key=str)
     same = table([(None, "no id at all"), (None, "no id at all"), (9, "a b c d"), (3, "A, b. C d"), (3, "other words in a second version"), (11, "other words in a second version")])
     assert sorted(map(tuple, nt.near_duplicates(same).collect())) == [(3, 3, 3), (9, 3, 3), (11, 3, 3)]
-    assert sorted((r.doc_id for r in nt.without_duplicates(same).select("doc_id").collect()), key=str) == sorted([None, 3], key=str)
+    assert sorted((r.doc_id for r in nt.without_duplicates(same).select("doc_id").collect()), key=str) == sorted([None, 3, 3], key=str)
+
+
+def test_rows_without_id_go_only_where_all_columns_agree(spark):
+    rows = [(None, "alpha beta gamma delta", "A"), (None, "alpha beta gamma delta", "B"), (None, None, "C"), (None, None, "D"), (None, None, "D"), (4, None, "E"), (4, None, "F"), (4, "other words stand here now", "G"), (4, "other words stand here now", "H"), (5, "unlike all of the others", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string").selectExpr("*", "map('k', more) as m", "array(more) as a")
+    kept = nt.without_duplicates(df)
+    assert kept.dtypes == df.dtypes
+    got = sorted(str((r.doc_id, r.more, r.m)) for r in kept.collect())
+    assert [x for x in got if x.startswith("(None")] == [f"(None, '{c}', {{'k': '{c}'}})" for c in "ABCD"]
+    assert len(got) == 7 and sum(x.startswith("(4") for x in got) == 2
 
 
 def test_other_texts_of_a_repeated_id_are_searched_and_kept(table, prose):
