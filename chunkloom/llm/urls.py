@@ -24,6 +24,8 @@ RULES: tuple[str, ...] = (
     "||example.biz^", "||thering.example.com^", "||tionsh.example.net/de/", "||therwh.example.org^fr^", "/session/*/token/", ".exe|", ".zip|", "#top|", "99*9?page=", "7777",
     "@@||blog.*^", "@@/en/*utm_source=feed", "@@||m.therst.example.com^", "@@.html|",
 )
+#: Characters of rules that are sent to all tasks.
+MOST_BROADCAST = 8 << 20
 _SEPARATOR = "(?:[^a-z0-9_.%-]|$)"
 
 
@@ -76,23 +78,26 @@ def rule_index(pages: DataFrame, rules: Sequence[str] = RULES, url_col: str = "u
     return [(min(ts, key=lambda t: (seen.get(t, 0), t)) if ts else None, n, r.startswith("@@"), regex(r)) for n, (r, ts) in enumerate(zip(rules, found))]
 
 
-def filtered(pages: DataFrame, rules: Sequence[str] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filtered(pages: DataFrame, rules: Sequence[str] = RULES, most: int = MOST_BROADCAST, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, url, verdict, n_rules, rules) for each distinct pair of id and URL.
 
     ``verdict`` is ``allow`` if an exception matches, else ``block`` if a rule does, else ``none``; ``rules`` are the numbers of all that match, ascending, joined by commas.
-    A null or empty URL matches no rule.  Other columns are not read.
+    A null or empty URL matches no rule.  Other columns are not read.  Rules of at most ``most`` characters go to all tasks; more of them meet the URLs in a
+    shuffled join.
     """
     spark = pages.sparkSession
     index = rule_index(pages, rules, url_col)
-    schema = "token string, rule int, exception boolean, pattern string"
-    keyed = spark.createDataFrame([r for r in index if r[0] is not None], schema)
-    always = [r for r in index if r[0] is None]
+    keyed = spark.createDataFrame([r for r in index if r[0] is not None], "token string, rule int, exception boolean, pattern string")
+    if sum(len(r[3]) for r in index) <= most:
+        keyed = F.broadcast(keyed)
+    one = lambda rule, exception: F.struct(F.lit(rule).alias("rule"), F.lit(exception).alias("exception"))
     base = columns(pages, id_col, url_col).toDF("page_id", "url").withColumn("low", F.lower("url"))
-    hits = base.withColumn("token", F.explode_outer(tokens(F.col("url")))).join(keyed, "token", "left")
+    # Rules without a token run on every URL, once, beside its tokens: their patterns are constants, compiled once a task.
+    always = F.array_compact(F.array(*(F.when(F.col("low").rlike(p), one(n, e)) for t, n, e, p in index if t is None), F.lit(None).cast("struct<rule: int, exception: boolean>")))
+    hits = base.select("page_id", "url", "low", F.explode_outer(tokens(F.col("url"))).alias("token")).join(keyed, "token", "left")
     hits = hits.select("page_id", "url", F.when(F.col("low").isNotNull() & F.expr("low rlike pattern"), F.struct("rule", "exception")).alias("hit"))
-    for _, rule, exception, pattern in always:
-        one = F.struct(F.lit(rule).alias("rule"), F.lit(exception).alias("exception"))
-        hits = hits.unionByName(base.where(F.col("low").rlike(pattern)).select("page_id", "url", one.alias("hit")))
+    if any(t is None for t, *_ in index):
+        hits = hits.unionByName(base.select("page_id", "url", F.explode(always).alias("hit")))
     out = hits.groupBy("page_id", "url").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
     return out.select(
         "page_id", "url",
