@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,6 +185,22 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def attempt() -> str:
+    """A name for this attempt of the task: no other attempt of it, or of another task, has it."""
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId()}"
+
+
+def tidy(folder: str, prefix: str, keep: set[str]) -> None:
+    """Removes the files of a folder that begin so and are not to be kept: those of attempts whose result Spark didn't take."""
+    from pyarrow import fs
+
+    system, path = filesystem(folder)
+    for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if f.base_name.startswith(prefix) and f.base_name not in keep:
+            system.delete_file(f.path)
+
+
 def publish(uri: str, chunks: Iterator[bytes]) -> None:
     """Writes a file beside its place and moves it there, so that a lost or repeated task leaves no half file."""
     system, path = filesystem(uri)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.common import columns, lists, slices, stored
-from chunkloom.llm.tokenizer import VOCABULARY, encoding, token_ids
+from chunkloom.llm.tokenizer import VOCABULARY, Vocabulary, ids
 
 CAPACITY, GROUP_ITEMS = 4096, 256
 
@@ -77,20 +77,21 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, start, size, ids): each row's tokens, cut every ``capacity`` tokens; a text without tokens has no piece."""
     kind = docs.schema[id_col].dataType.simpleString()
-    encoding(vocabulary)  # a missing file is an error here, not in a task
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = shared.value.encoding()
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 part = b.slice(lo, hi - lo)
-                ids = [token_ids(t.as_py(), vocabulary) if t.is_valid else np.zeros(0, dtype=np.uint32) for t in part.column(1)]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
+                own = [ids(t.as_py(), enc) if t.is_valid else np.zeros(0, dtype=np.uint32) for t in part.column(1)]
+                n = np.array([len(x) for x in own], dtype=np.int64)
                 cuts = -(-n // capacity)
-                row = np.repeat(np.arange(len(ids)), cuts)
+                row = np.repeat(np.arange(len(own)), cuts)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
                 size = np.minimum(capacity, n[row] - start)
                 at = pa.array(row)
-                out = [part.column(0).take(at), part.column(2).take(at), pa.array(start), pa.array(size), lists(np.concatenate(ids).astype(np.int32), size, pa.int32())]
+                out = [part.column(0).take(at), part.column(2).take(at), pa.array(start), pa.array(size), lists(np.concatenate(own).astype(np.int32), size, pa.int32())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "start", "size", "ids"])
 
     texts = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))

@@ -2,11 +2,13 @@
 
 A record is, little-endian: the payload's length (8 bytes), the masked CRC-32C of those 8 bytes (4), the payload, the
 masked CRC-32C of the payload (4).  Masking turns the checksum right by 15 bits and adds 0xA282EAD8, so that data
-that hold checksums of their own are safe.  The payload is: flags (1 byte; 1 no id, 2 no text, 4 ids take four
-bytes each), the document's id (8), the number of tokens (4), the token ids (2 bytes each if the vocabulary allows it).
+that hold checksums of their own are safe.  The payload is: flags (1 byte; 1 no id, 2 no text, 4 token ids take four
+bytes each, 8 the document's id is a string), the id (8; a string's length in bytes), the number of tokens (4), a string id's bytes,
+the token ids (2 bytes each if the vocabulary allows it).
 
-A task writes one shard under a name that depends on its partition only and moves it into place when it is
-whole, so a repeated task replaces its shard by the same bytes.  The index, a Parquet table, is written after all shards.
+Every attempt of a task writes a shard of its own name and moves it into place when it is whole.  The index, a Parquet table
+that Spark commits from one attempt a task, names that attempt's shard, so that shard and index always fit; shards of
+attempts that were lost or lagged behind are removed at the end.  The vocabulary goes to the tasks with the job.
 Readers visit records in any order by range reads and check every checksum.
 """
 
@@ -16,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import columns, filesystem, place, publish
-from chunkloom.llm.tokenizer import VOCABULARY, encoding, token_ids
+from chunkloom.llm.common import attempt, columns, filesystem, place, publish, tidy
+from chunkloom.llm.tokenizer import VOCABULARY, Vocabulary, encoding, ids
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 _HEAD = np.dtype([("flags", "u1"), ("id", "<i8"), ("n", "<u4")])
 
 
@@ -88,16 +90,21 @@ def frames(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [s + x.tobytes() + p + y.tobytes() for s, x, p, y in zip(sizes, a, payloads, b)], b
 
 
-def payload(doc_id: int | None, text: str | None, vocabulary: str) -> bytes:
-    ids = token_ids(text or "", vocabulary)
-    wide = encoding(vocabulary).max_token_value > 65535
+def payload(doc_id: int | str | None, text: str | None, vocabulary: str = VOCABULARY) -> bytes:
+    enc = encoding(vocabulary)
+    return _payload(doc_id, text, enc, enc.max_token_value > 65535)
+
+
+def _payload(doc_id: int | str | None, text: str | None, enc, wide: bool) -> bytes:
+    own = ids(text or "", enc)
+    name = doc_id.encode("utf-8", "surrogatepass") if isinstance(doc_id, str) else b""
     head = np.zeros(1, dtype=_HEAD)
-    head["flags"] = (doc_id is None) + 2 * (text is None) + 4 * wide
-    head["id"], head["n"] = doc_id or 0, len(ids)
-    return head.tobytes() + ids.astype("<u4" if wide else "<u2").tobytes()
+    head["flags"] = (doc_id is None) + 2 * (text is None) + 4 * wide + 8 * isinstance(doc_id, str)
+    head["id"], head["n"] = len(name) if isinstance(doc_id, str) else doc_id or 0, len(own)
+    return head.tobytes() + name + own.astype("<u4" if wide else "<u2").tobytes()
 
 
-def parse(record: bytes) -> tuple[int | None, np.ndarray | None]:
+def parse(record: bytes) -> tuple[int | str | None, np.ndarray | None]:
     """(id, token ids) of a record; a wrong length or checksum is an error."""
     n = int(np.frombuffer(record[:8], "<u8")[0])
     if len(record) != n + 16:
@@ -106,10 +113,14 @@ def parse(record: bytes) -> tuple[int | None, np.ndarray | None]:
     if masked(crc32c([record[:8]]))[0] != np.frombuffer(record[8:12], "<u4")[0] or masked(crc32c([body]))[0] != np.frombuffer(record[12 + n :], "<u4")[0]:
         raise ValueError("a checksum is wrong")
     head = np.frombuffer(body[: _HEAD.itemsize], _HEAD)[0]
-    ids = np.frombuffer(body[_HEAD.itemsize :], "<u4" if head["flags"] & 4 else "<u2")
-    if len(ids) != head["n"]:
+    at = _HEAD.itemsize
+    doc_id: int | str = int(head["id"])
+    if head["flags"] & 8:
+        doc_id, at = body[at : at + doc_id].decode("utf-8", "surrogatepass"), at + doc_id
+    own = np.frombuffer(body[at:], "<u4" if head["flags"] & 4 else "<u2")
+    if len(own) != head["n"]:
         raise ValueError("the number of tokens is wrong")
-    return None if head["flags"] & 1 else int(head["id"]), None if head["flags"] & 2 else ids
+    return None if head["flags"] & 1 else doc_id, None if head["flags"] & 2 else own
 
 
 def write_records(docs: DataFrame, out: str | None = None, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,14 +129,18 @@ def write_records(docs: DataFrame, out: str | None = None, vocabulary: str = VOC
 
     ``out`` is a folder that all executors share (a new one in the session's checkpoint folder by default).
     A null text makes a record without tokens that says so, an empty text one with none; a null id
-    is kept as null.  Repeated rows are repeated records.  Other columns are not read.  An empty table has an empty index.
+    is kept as null.  Ids of whole numbers take eight bytes, those of any other type are kept as Spark's string of them.  Repeated rows are repeated records.  Other columns are not read.  An empty table has an empty index.
     """
     spark = docs.sparkSession
     out = out or place(spark, "records")
-    encoding(vocabulary)  # a missing file is an error here, not in a task
+    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = kind in _WHOLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = f"shard-{TaskContext.get().partitionId():06d}.bin"
+        enc = shared.value.encoding()
+        wide = enc.max_token_value > 65535
+        shard = f"shard-{attempt()}.bin"
         rows: list[pa.RecordBatch] = []
 
         def chunks() -> Iterator[bytes]:
@@ -133,23 +148,26 @@ def write_records(docs: DataFrame, out: str | None = None, vocabulary: str = VOC
             for b in batches:
                 for lo in range(0, len(b), 2048):
                     part = b.slice(lo, 2048)
-                    ids = part.column(0).to_pylist()
-                    bodies = [payload(i, t.as_py(), vocabulary) for i, t in zip(ids, part.column(1))]
+                    bodies = [_payload(i, t.as_py(), enc, wide) for i, t in zip(part.column(0).to_pylist(), part.column(1))]
                     recs, sums = frames(bodies)
                     size = np.array([len(r) for r in recs], dtype=np.int64)
                     off = at + np.cumsum(size) - size
                     n = [int(np.frombuffer(p[9:13], "<u4")[0]) for p in bodies]
                     k = len(recs)
-                    rows.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shard] * k, pa.string()), pa.array(np.arange(number, number + k)), pa.array(off), pa.array(size), pa.array(n, pa.int64()), pa.array(sums.astype(np.int64))], ["doc_id", "shard", "record", "offset", "length", "n_tokens", "checksum"]))
+                    rows.append(pa.RecordBatch.from_arrays([part.column(0), pa.array([shard] * k, pa.string()), pa.array(np.arange(number, number + k)), pa.array(off), pa.array(size), pa.array(n, pa.int64()), pa.array(sums.astype(np.int64))], ["doc_id", "shard", "record", "offset", "length", "n_tokens", "checksum"]))
                     at, number = at + int(size.sum()), number + k
                     yield b"".join(recs)
 
         publish(f"{out}/{shard}", chunks())
         yield from rows
 
-    made = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")).mapInArrow(run, "doc_id bigint, shard string, record bigint, offset bigint, length bigint, n_tokens bigint, checksum bigint")
+    stored_as = "bigint" if whole else "string"
+    made = columns(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast(stored_as), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {stored_as}, shard string, record bigint, offset bigint, length bigint, n_tokens bigint, checksum bigint")
+    made = made.withColumn("doc_id", F.col("doc_id").cast(kind))
     made.write.parquet(f"{out}/index")
-    return spark.read.schema(made.schema).parquet(f"{out}/index")
+    index = spark.read.schema(made.schema).parquet(f"{out}/index")
+    tidy(out, "shard-", {r.shard for r in index.select("shard").distinct().collect()})
+    return index
 
 
 def folder(index: DataFrame) -> str | None:
@@ -165,6 +183,7 @@ def read_records(index: DataFrame, out: str | None = None, seed: int | None = No
     """
     out = out or folder(index)
     rows = index.select("shard", "record", "offset", "length")
+    kind = index.schema["doc_id"].dataType.simpleString()
     if seed is not None:
         rows = rows.orderBy(F.xxhash64(F.lit(seed), "shard", "record"), "shard", "record")
 
@@ -178,6 +197,7 @@ def read_records(index: DataFrame, out: str | None = None, seed: int | None = No
                     files[shard] = system.open_input_file(path)
                 got.append(parse(files[shard].read_at(size, at)))
             n = [0 if t is None else len(t) for _, t in got]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([None if t is None else t.astype(np.int64) for _, t in got], pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64() if kind in _WHOLE else pa.string()), pa.array([None if t is None else t.astype(np.int64) for _, t in got], pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
-    return rows.mapInArrow(run, "doc_id bigint, ids array<bigint>, n_tokens bigint")
+    got = rows.mapInArrow(run, f"doc_id {'bigint' if kind in _WHOLE else 'string'}, ids array<bigint>, n_tokens bigint")
+    return got.withColumn("doc_id", F.col("doc_id").cast(kind))

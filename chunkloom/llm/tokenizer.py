@@ -12,18 +12,33 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _loaded: dict[str, tiktoken.Encoding] = {}
 
 
-def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
-    """The tokenizer of a rank file, loaded once in each Python process.  Special strings are ordinary text."""
-    if path not in _loaded:
+class Vocabulary:
+    """A rank file, read where this is made.  It goes to tasks as bytes, so that executors need no file; special strings are ordinary text."""
+
+    def __init__(self, path: str = VOCABULARY):
+        self.path = path
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _loaded[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+            self.raw = f.read()
 
+    def encoding(self) -> tiktoken.Encoding:
+        """The tokenizer, made once in each Python process."""
+        if self.path not in _loaded:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in self.raw.splitlines() if line.strip())}
+            _loaded[self.path] = tiktoken.Encoding(self.path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return _loaded[self.path]
 
-def token_ids(text: str, path: str = VOCABULARY) -> np.ndarray:
-    enc = encoding(path)
+
+def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
+    return _loaded[path] if path in _loaded else Vocabulary(path).encoding()
+
+
+def ids(text: str, enc: tiktoken.Encoding) -> np.ndarray:
+    """Token ids; what UTF-8 can't hold is replaced."""
     try:
         return enc.encode_to_numpy(text, disallowed_special=())
     except UnicodeEncodeError:
         return enc.encode_to_numpy(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), disallowed_special=())
+
+
+def token_ids(text: str, path: str = VOCABULARY) -> np.ndarray:
+    return ids(text, encoding(path))

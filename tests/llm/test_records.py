@@ -72,3 +72,18 @@ def test_tokens_equal_the_public_tokenizer():
         assert tk.token_ids(s).tolist() == t.encode(s, add_special_tokens=False).ids
     with pytest.raises(FileNotFoundError):
         tk.encoding("/nowhere.tiktoken")
+
+
+def test_ids_of_any_type_and_shards_of_lost_attempts(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "shard-000000-99.bin").write_bytes(b"of an attempt that was lost")
+    rows = [("a-1", "some text"), ("", "no name"), (None, "no id"), ("\u00fc\n", None), ("a-1", "some text")]
+    index = rc.write_records(spark.createDataFrame(rows, "doc_id string, text string").repartition(2), f"file://{tmp_path}/r")
+    back = rc.read_records(index)
+    assert back.schema["doc_id"].dataType.simpleString() == "string"
+    enc = tk.encoding()
+    assert sorted(str((r.doc_id, None if r.ids is None else enc.decode(r.ids))) for r in back.collect()) == sorted(map(str, rows))
+    assert {p.name for p in (tmp_path / "r").glob("shard-*")} == {r.shard for r in index.collect()}
+    dates = spark.sql("select date'2024-01-05' as doc_id, 'x' as text union all select null, 'y'")
+    got = rc.read_records(rc.write_records(dates))
+    assert got.schema["doc_id"].dataType.simpleString() == "date" and sorted(str(r.doc_id) for r in got.collect()) == ["2024-01-05", "None"]
