@@ -7,7 +7,8 @@ hold the key, and reads the record by a range read.
 
 The index is range-partitioned: a shard of blocks has its own small directory file, and only the first key of each shard is
 gathered.  A look-up task opens the directories of those shards that its sorted keys fall in, so no
-process ever holds the whole directory.  Files get their final name when they are whole; a repeated task writes the same again.
+process ever holds the whole directory.  Every attempt of a task writes files of its own name, which appear when they are whole; the tables that
+Spark commits name those of the attempt that it took, and the others are removed.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import columns, filesystem, place, publish
+from chunkloom.llm.common import attempt, columns, filesystem, place, publish, tidy
 
 BLOCK_LINES, DATE = 300, "2024-01-01T00:00:00Z"
 #: Bytes of records that a look-up task fetches when all of an archive is wanted.
@@ -55,12 +56,12 @@ ORACLE_KEY = r"""
     END"""
 
 
-def record(page_id: int | None, url: str, html: str | None) -> tuple[bytes, str]:
+def record(page_id: str | None, url: str, html: str | None) -> tuple[bytes, str]:
     """(gzip member, payload digest) of a page; a null page is a record without payload that says so."""
     body = (html or "").encode("utf-8", "surrogatepass")
     digest = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest}")
-    extra = "".join(f"{k}: {v}\r\n" for k, v in (("X-Page-ID", page_id), ("X-Null-Payload", html is None or None)) if v is not None)
+    extra = "".join(f"{k}: {v}\r\n" for k, v in (("X-Page-ID", page_id if page_id is None else quote(str(page_id), errors="surrogatepass")), ("X-Null-Payload", html is None or None)) if v is not None)
     clean = url.replace("\r", "%0D").replace("\n", "%0A")
     head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {clean}\r\nWARC-Payload-Digest: {digest}\r\nContent-Type: text/html\r\n{extra}Content-Length: {len(body)}\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -87,10 +88,10 @@ def parse(member: bytes) -> dict:
 
 
 class Archive:
-    """A folder of WARC files with its index.  ``shards``: (first key, name) of each shard of blocks, sorted; ``size``: bytes of all records."""
+    """A folder of WARC files with its index.  ``shards``: (first key, name) of each shard of blocks, sorted; ``size``: bytes of all records; ``kind``: the type of page ids, which the files have as strings."""
 
-    def __init__(self, folder: str, shards: list[tuple[str, str]], captures: int, size: int):
-        self.folder, self.shards, self.captures, self.size = folder, shards, captures, size
+    def __init__(self, folder: str, shards: list[tuple[str, str]], captures: int, size: int, kind: str = "bigint"):
+        self.folder, self.shards, self.captures, self.size, self.kind = folder, shards, captures, size, kind
 
 
 def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = BLOCK_LINES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> Archive:
@@ -102,10 +103,10 @@ def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = B
     """
     spark = pages.sparkSession
     out = out or place(spark, "warc")
-    rows = columns(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").select(F.col("page_id").cast("bigint"), "url", "html", url_key(F.col("url")).alias("key")).where("key is not null")
+    rows = columns(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").select(F.col("page_id").cast("string"), "url", "html", url_key(F.col("url")).alias("key")).where("key is not null")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"data-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"data-{attempt()}.warc.gz"
         made: list[pa.RecordBatch] = []
 
         def members() -> Iterator[bytes]:
@@ -124,12 +125,12 @@ def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = B
         publish(f"{out}/{name}", members())
         yield from made
 
-    made = rows.mapInArrow(store, "key string, page_id bigint, url string, file string, offset bigint, length bigint, digest string")
+    made = rows.mapInArrow(store, "key string, page_id string, url string, file string, offset bigint, length bigint, digest string")
     made.write.parquet(f"{out}/captures")
     captures = spark.read.schema(made.schema).parquet(f"{out}/captures")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"index-{TaskContext.get().partitionId():06d}"
+        name = f"index-{attempt()}"
         directory: list[tuple[str, int, int, int]] = []
         total = held = 0
 
@@ -168,7 +169,9 @@ def write_archive(pages: DataFrame, out: str | None = None, block_lines: int = B
     made_index = ordered.mapInArrow(index, "first string, name string, lines bigint, size bigint")
     made_index.write.parquet(f"{out}/shards")
     shards = sorted(map(tuple, spark.read.schema(made_index.schema).parquet(f"{out}/shards").collect()))
-    return Archive(out, [(f, n) for f, n, _, _ in shards], sum(s[2] for s in shards), sum(s[3] for s in shards))
+    tidy(out, "data-", {r.file for r in captures.select("file").distinct().collect()})
+    tidy(out, "index-", {n + end for _, n, _, _ in shards for end in (".cdx.gz", ".dir")})
+    return Archive(out, [(f, n) for f, n, _, _ in shards], sum(s[2] for s in shards), sum(s[3] for s in shards), pages.schema[id_col].dataType.simpleString())
 
 
 def _directory(rows: list[tuple[str, int, int, int]]) -> bytes:
@@ -263,14 +266,14 @@ def look_up(archive: Archive, keys: DataFrame, tasks: int | None = None) -> Data
             yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["urlkey", "page_id", "url", "html"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string()))], ["urlkey", "page_id", "url", "html"])
 
     one = keys.toDF("key").where("key is not null").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
-    return one.mapInArrow(run, "urlkey string, page_id bigint, url string, html string")
+    return one.mapInArrow(run, "urlkey string, page_id string, url string, html string").withColumn("page_id", F.col("page_id").cast(archive.kind))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, page_id, url, digest, html) of every record of WARC files with a gzip member a record, read as a stream."""
+def read_warc(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """(file, offset, page_id, url, digest, html) of every record of WARC files with a gzip member a record, read as a stream; page ids are cast to ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,8 +294,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             data = b"".join(member)
                             rec = parse(data)
                             page = rec.get("x-page-id")
+                            page = page if page is None else unquote(page, errors="surrogatepass")
                             html = None if "x-null-payload" in rec else rec["body"].decode("utf-8", "surrogatepass")
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([begin], pa.int64()), pa.array([None if page is None else int(page)], pa.int64()), pa.array([rec["warc-target-uri"]]), pa.array([rec.get("warc-payload-digest")], pa.string()), pa.array([html], pa.string())], ["file", "offset", "page_id", "url", "digest", "html"])
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([begin], pa.int64()), pa.array([page], pa.string()), pa.array([rec["warc-target-uri"]]), pa.array([rec.get("warc-payload-digest")], pa.string()), pa.array([html], pa.string())], ["file", "offset", "page_id", "url", "digest", "html"])
                             at += len(data)
                             z, raw, member, begin = zlib.decompressobj(31), rest, [], at
                         else:
@@ -301,7 +305,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"{name} ends within a record")
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInArrow(run, "file string, offset bigint, page_id bigint, url string, digest string, html string")
+    return files.mapInArrow(run, "file string, offset bigint, page_id string, url string, digest string, html string").withColumn("page_id", F.col("page_id").cast(kind))
 
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
