@@ -5,8 +5,10 @@ phrases that occur in that language's sample; ``phrases * log2(sample length) /
 the bits a symbol that the language needs for the text, and the language with the fewest wins.
 
 Text is lower-cased and read as bytes; all but letters becomes one blank, and blanks in a row count
-as one.  Phrases end with every ``BLOCK`` symbols, so that a batch's blocks are parsed side by side: a step
-advances all blocks of a batch by a symbol in all languages at once, by one table look-up each.
+as one.  A batch's texts are parsed side by side: a step advances all of them by a symbol in all languages at once, by one
+table look-up each.  A long text is cut into blocks that are first parsed each on its own; then every block is entered in the state that the block
+before it ends in, and followed until a phrase begins where one begins in its own parse as well, from where on the two parses are the
+same.  So the number of phrases is that of the whole text's parse, however long it is.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from chunkloom.llm.common import columns, slices, text_arrays
 SAMPLE_TEXTS, SAMPLE_SYMBOLS = 64, 16384
 #: A text for which every language needs more bits a symbol is rejected.  Text of the four labelled languages stays below 6.4 here, text of random letters needs 9 or more.
 MOST_BITS = 7.0
+#: Symbols of a long text that are parsed at once.
 BLOCK = 2048
+#: Bytes of the table that every worker holds.
+MOST_TABLE = 1 << 28
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
@@ -95,7 +100,7 @@ class Model:
             self.arcs.append(tuple(arcs.T))
             base += len(move)
         self.states = base
-        if self.states * self.width * 2 >= 1 << 31:
+        if self.states * self.width * 4 > MOST_TABLE:
             raise ValueError(f"{len(self.names)} languages of {self.width - 1} symbols need too large a table; label fewer languages or lower sample_symbols")
         self.table: np.ndarray | None = None
 
@@ -116,31 +121,74 @@ class Model:
             self.table = table.ravel()
         return self.table
 
-    def phrases(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def phrases(self, data: np.ndarray, off: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """(languages, texts): phrases of each text's parse by each language."""
         table, texts = self.ready(), len(off) - 1
         size = np.diff(off)
-        blocks = -(-size // BLOCK)
+        blocks = -(-size // block)
         text = np.repeat(np.arange(texts), blocks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = off[:-1][text] + nth * BLOCK
-        length = np.minimum(BLOCK, off[1:][text] - start)
+        start = off[:-1][text] + nth * block
+        length = np.minimum(block, off[1:][text] - start)
         order = np.argsort(-length, kind="stable")
-        start, length, text = start[order], length[order], text[order]
-        code = self.code[data]
-        active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
+        first, code = start[order], self.code[data]
+        several = bool(len(nth) and nth.max())
+        begins = np.zeros((len(self.names), len(data) if several else 0), dtype=bool)
+        active = np.searchsorted(-length[order], -np.arange(block), side="left")
         state = np.repeat((np.array(self.roots, dtype=np.int32) * self.width)[:, None], len(text), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
-        for t in range(int(length[0]) if len(length) else 0):
+        for t in range(int(length[order[0]]) if len(length) else 0):
             n = active[t]
-            v = table.take(state[:, :n] + code[start[:n] + t])
-            count[:, :n] += v & 1
+            at = first[:n] + t
+            v = table.take(state[:, :n] + code[at])
+            new = v & 1
+            count[:, :n] += new
+            if several:
+                begins[:, at] = new
             np.right_shift(v, 1, out=state[:, :n])
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        state, count = state[:, back], count[:, back]
+        if several:
+            self._entered(table, code, begins, text, nth, start, length, state, count)
         out = np.zeros((len(self.names), texts))
         for k in range(len(self.names)):
             out[k] = np.bincount(text, count[k], minlength=texts)
         return out
 
+    @staticmethod
+    def _entered(table: np.ndarray, code: np.ndarray, begins: np.ndarray, text: np.ndarray, nth: np.ndarray, start: np.ndarray, length: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+        """Corrects the blocks' counts for the state that they are entered in; ``end`` and ``count`` are each block's, from its own parse."""
+        alone, own_end = count.copy(), end.copy()
+        later = np.flatnonzero(nth > 0)
+        lang, lane = (x.ravel() for x in np.meshgrid(np.arange(len(end)), later, indexing="ij"))
+        while len(lane):
+            now = end[lang, lane - 1]
+            true, own = np.zeros(len(lane), dtype=np.int32), np.zeros(len(lane), dtype=np.int32)
+            result, after = alone[lang, lane], own_end[lang, lane]
+            open_ = np.arange(len(lane))
+            t = 0
+            while len(open_):
+                k, at = lang[open_], start[lane[open_]] + t
+                v = table[now + code[at]]
+                new, there = (v & 1).astype(bool), begins[k, at]
+                true += new
+                own += there
+                now = v >> 1
+                met, over = new & there, length[lane[open_]] == t + 1
+                result[open_[met]] += true[met] - own[met]
+                lost = over & ~met
+                result[open_[lost]], after[open_[lost]] = true[lost], now[lost]
+                on = ~(met | over)
+                open_, now, true, own = open_[on], now[on], true[on], own[on]
+                t += 1
+            changed = after != end[lang, lane]
+            count[lang, lane], end[lang, lane] = result, after
+            # A block that never met its own parse ends in another state than the next one was entered in.
+            follows = changed & (lane + 1 < len(text))
+            follows[follows] = text[lane[follows] + 1] == text[lane[follows]]
+            lang, lane = lang[follows], lane[follows] + 1
+
     def judge(self, column: pa.Array, most_bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number or -1, its bits a symbol, how many more the next language needs) of each text."""
         n = len(column)
@@ -165,14 +213,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     hashes, and of them, joined by blanks, the first ``sample_symbols`` symbols.  Rows with a null label or
     text don't count; no labelled rows give a model that rejects everything."""
     t = columns(labelled, text_col, lang_col).toDF("text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    least = t.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_texts).collect()
-    chosen = t.where(F.col("h").isin([r.h for r in least])).distinct().collect() if least else []
-    wanted = {(r.lang, r.h) for r in least}
+    least = t.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_texts).select("lang", "h")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices(b.column(2)):
+                data, off, _ = symbols(b.column(2).slice(lo, hi - lo))
+                own = [data[x : min(y, x + sample_symbols + 2)].tobytes().strip()[:sample_symbols] for x, y in zip(off, off[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(own, pa.binary())], ["lang", "h", "sample"])
+
+    # At most sample_texts * sample_symbols bytes a language reach the driver, whatever the texts' length.
+    chosen = t.join(least, ["lang", "h"]).select("lang", "h", "text").mapInArrow(cut, "lang string, h bigint, sample binary").distinct()
     samples: dict[str, bytes] = {}
-    for r in sorted((r for r in chosen if (r.lang, r.h) in wanted), key=lambda r: (r.lang, r.h, r.text)):
+    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h, bytes(r.sample))):
         own = samples.get(r.lang, b"")
         if len(own) < sample_symbols:
-            more = symbols(pa.array([r.text]))[0].tobytes().strip()
+            more = bytes(r.sample)
             samples[r.lang] = (own + b" " + more if own else more)[:sample_symbols]
     return Model({k: v for k, v in samples.items() if v})
 

@@ -9,16 +9,14 @@ from chunkloom.llm import language as la
 
 
 def slow_phrases(text, sample):
-    """Greedy longest matches by string search, block by block."""
-    n = 0
-    for b in range(0, len(text), la.BLOCK):
-        block, i = text[b : b + la.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            while j <= len(block) and block[i:j] in sample:
-                j += 1
-            i = max(j - 1, i + 1)
-            n += 1
+    """Greedy longest matches by string search."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i = max(j - 1, i + 1)
+        n += 1
     return n
 
 
@@ -27,13 +25,14 @@ def normal(t):
     return d.tobytes()
 
 
-def test_phrases_equal_string_search(prose, monkeypatch):
-    monkeypatch.setattr(la, "BLOCK", 50)
-    samples = {"x": normal(prose(1, 120)), "y": normal(prose(2, 90)), "z": b"q"}
+@pytest.mark.parametrize("block", [7, 50, 2048])
+def test_phrases_equal_string_search(prose, block):
+    """Blocks don't show, not even where a block's own parse never meets the text's: runs of one letter, phrases longer than a block."""
+    samples = {"x": normal(prose(1, 120)), "y": normal(prose(2, 90)), "z": b"q" * 11}
     m = la.Model(samples)
-    texts = [prose(1, 30), prose(2, 40), prose(3, 200), "Ünder ßtraße über", "", "zzzz", "a", "!!", None]
+    texts = [prose(1, 30), prose(2, 40), prose(3, 200), "Ünder ßtraße über", "", "q" * 300, "q" * 95 + " " + prose(1, 60), prose(1, 120) * 3, "zzzz", "a", "!!", None]
     data, off, letters = la.symbols(pa.array(texts))
-    got = m.phrases(data, off)
+    got = m.phrases(data, off, block)
     for i, t in enumerate(texts):
         own = normal(t)
         assert data[off[i] : off[i + 1]].tobytes() == own
@@ -100,3 +99,11 @@ def test_a_table_beyond_its_entries_is_refused(monkeypatch):
     monkeypatch.setattr(la, "suffix_automaton", lambda text: [{}] * (1 << 23))
     with pytest.raises(ValueError, match="languages"):
         la.Model({"a": bytes(range(97, 256))})
+
+
+def test_long_labelled_texts_reach_the_driver_cut(table):
+    long = "abc def ghi " * 100_000
+    m = la.fit(table([(1, long), (2, "abc. def! GHI " * 5), (3, None)]).replace({"en": "xx"}, subset=["lang"]), sample_symbols=1000)
+    assert m.names == ["xx"] and m.log_size.tolist() == [math.log2(1000)]
+    with pytest.raises(ValueError, match="table"):
+        la.Model({chr(97 + i): bytes(np.random.default_rng(i).integers(97, 250, 60_000, dtype=np.uint8)) for i in range(9)})
