@@ -9,6 +9,7 @@ that no rule takes are reported as ``unmatched``.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -45,6 +46,20 @@ SENTENCES: dict[str, list[str]] = {
     "ccby4-short": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This work is licensed under CC BY 4.0."],
     "ccbysa4-short": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "mpl2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."],
+    "lgpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl21-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl-nowarranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl-see": ["See the GNU Lesser General Public License for more details."],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-see": ["See the GNU Affero General Public License for more details."],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-short": ["Licensed under the ISC License.", "This project is licensed under the ISC License."],
+    "unlicense-domain": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "cc0-short": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "This work is dedicated to the public domain under CC0 1.0.", "Licensed under CC0 1.0 Universal."],
+    "epl2-short": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, version 2.0."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "bsl1-short": ["Distributed under the Boost Software License, Version 1.0."],
     "rights": ["All rights reserved."],
 }
 
@@ -56,7 +71,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-nowarranty", "gpl-see", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-nowarranty", "gpl-see", "gpl-copy")),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-nowarranty", "agpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-nowarranty", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-nowarranty", "lgpl-see")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
     ("Apache-2.0", ("apache2-full",)),
     ("Apache-2.0", ("apache2-grant",)),
     ("Apache-2.0", ("apache2-short",)),
@@ -70,10 +89,35 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-4.0", ("ccby4-short",)),
     ("CC-BY-SA-4.0", ("ccbysa4-short",)),
     ("MPL-2.0", ("mpl2",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-short",)),
+    ("Unlicense", ("unlicense-domain",)),
+    ("CC0-1.0", ("cc0-short",)),
+    ("EPL-2.0", ("epl2-short",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("bsl1-short",)),
     ("all-rights-reserved", ("rights",)),
 ]
 
 
+def load(path: str) -> tuple[dict[str, list[str]], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences and rules from a JSON file: {"sentences": {identifier: [wording, ...]}, "rules": [[licence, [identifier, ...]], ...]}.
+
+    A rule that names an unknown identifier, or none, is an error.
+    """
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    sentences = {name: [w] if isinstance(w, str) else list(w) for name, w in raw["sentences"].items()}
+    rules = [(licence, tuple(names)) for licence, names in raw["rules"]]
+    for licence, names in rules:
+        if not names or (unknown := set(names) - sentences.keys()):
+            raise ValueError(f"the rule for {licence} names {', '.join(sorted(unknown)) if names else 'no sentence'}")
+    return sentences, rules
+
+
 class Scanner:
     """Known sentences by number of words and hash; rules by their first identifier."""
 

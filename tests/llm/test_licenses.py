@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from chunkloom.llm import licenses as li
 
 from .conftest import words
@@ -72,3 +74,20 @@ def test_odd_and_empty(odd, empty, table):
     assert li.licences(odd).collect() == [] and li.licences(empty).collect() == []
     far = "word " * 60_000 + "\nReleased under the MIT License."
     assert scan(table, [(None, far), (1, "All rights reserved."), (1, "All rights reserved.")]) == [(1, "all-rights-reserved", 0, ("rights",)), (1, "all-rights-reserved", 0, ("rights",)), (None, "MIT", 60_000, ("mit-short",))]
+
+
+def test_rules_from_a_file(table, tmp_path):
+    import json
+
+    (tmp_path / "r.json").write_text(json.dumps({"sentences": {"a": "Free for all.", "b": ["Ask us first.", "Ask us."]}, "rules": [["Mine", ["a", "b"]], ["Short", ["a"]]]}))
+    sentences, rules = li.load(str(tmp_path / "r.json"))
+    got = li.licences(table([(1, "Free for all. Ask us."), (2, "free for ALL"), (3, "ask us first")]), sentences, rules).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "Mine"), (2, "Short"), (3, "unmatched")]
+    (tmp_path / "r.json").write_text(json.dumps({"sentences": {"a": "x"}, "rules": [["Mine", ["c"]]]}))
+    with pytest.raises(ValueError, match="names c"):
+        li.load(str(tmp_path / "r.json"))
+
+
+def test_every_sentence_is_in_a_rule():
+    used = {n for _, ids in li.RULES for n in ids}
+    assert used == li.SENTENCES.keys()
