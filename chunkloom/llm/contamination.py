@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import U, Words, columns, fresh, lists, slices, stored, weighted
+from chunkloom.llm.common import U, Words, columns, fresh, lists, scratch, slices, stored, weighted
 
 WORDS, THRESHOLD, MISS = 5, 0.7, 0.005
 #: Beyond so many shingles of test items, sketches meet in a shuffled join and nothing is broadcast.
@@ -150,9 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thre
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    items = stored(_items(benchmark, words, item_col, "text"), "items")
-    got = _broadcast(items, threshold, miss, most)
     texts = columns(docs, id_col, text_col).toDF("id", "text").where("text is not null")
+    with scratch(spark):
+        items = stored(_items(benchmark, words, item_col, "text"), "items")
+        got = _broadcast(items, threshold, miss, most)
+        found = None if got is not None else stored(_joined(texts, items, words, threshold, miss, kind), "contaminated", lasts=True)
     out_type = f"doc_id {kind}, item_id {item_kind}, n_shared bigint, n_item bigint"
     if got is not None:
         shared = spark.sparkContext.broadcast(got)
@@ -168,8 +170,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thre
                         yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "n_shared", "n_item"])
 
         found = texts.mapInArrow(search, out_type)
-    else:
-        found = _joined(texts, items, words, threshold, miss, kind)
     return found.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
 
 
@@ -213,13 +213,15 @@ def _joined(texts: DataFrame, items: DataFrame, words: int, threshold: float, mi
 def decontaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, miss: float = MISS, most: int = MOST_BROADCAST, text_col: str = "text") -> DataFrame:
     """The rows of the table that hold no test item; all columns stay.  Rows without text stay."""
     spark = docs.sparkSession
-    items = stored(_items(benchmark, words, "item_id", "text"), "items")
-    got = _broadcast(items, threshold, miss, most)
+    with scratch(spark):
+        items = stored(_items(benchmark, words, "item_id", "text"), "items")
+        got = _broadcast(items, threshold, miss, most)
+        if got is None:
+            (mark,) = fresh(docs, "mark")
+            t = F.col(f"`{text_col}`")
+            texts = docs.select(F.xxhash64(t).alias("id"), t.alias("text")).where("text is not null")
+            bad = stored(_joined(texts, items, words, threshold, miss, "bigint").select(F.col("doc_id").alias(mark)).distinct(), "contaminated", lasts=True)
     if got is None:
-        (mark,) = fresh(docs, "mark")
-        t = F.col(f"`{text_col}`")
-        texts = docs.select(F.xxhash64(t).alias("id"), t.alias("text")).where("text is not null")
-        bad = _joined(texts, items, words, threshold, miss, "bigint").select(F.col("doc_id").alias(mark)).distinct()
         return docs.join(bad, F.xxhash64(t) == F.col(mark), "left_anti")
     shared = spark.sparkContext.broadcast(got)
     at = docs.columns.index(text_col)
