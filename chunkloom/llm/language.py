@@ -214,6 +214,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     text don't count; no labelled rows give a model that rejects everything."""
     t = columns(labelled, text_col, lang_col).toDF("text", "lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     least = t.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_texts).select("lang", "h")
+    # Their number is bounded by sample_texts a language, and Model refuses more languages than a worker can hold.
+    least = F.broadcast(t.sparkSession.createDataFrame(least.collect(), "lang string, h bigint"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
