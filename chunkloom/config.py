@@ -34,7 +34,10 @@ class ChunkConfig:
 
 @dataclass(frozen=True)
 class Options:
-    """How vectors are made and treated afterwards."""
+    """How vectors are made and treated afterwards.
+
+    ``normalize`` brings every sequence's vectors to unit length; ``renormalize`` also what is averaged from several sequences.
+    """
 
     dim: int = 8
     context: float = 0.5

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,26 +22,42 @@ def padded(a: Column, value: Column, size: Column) -> Column:
     return F.concat(a, F.array_repeat(value, (size - F.size(a)).cast("int")))
 
 
-def batch_plan(rows: DataFrame, id_col: str, size_col: str, budget: int) -> DataFrame:
-    """(id, size, batch_no, batch_rows, width): longest first within a partition, greedy batches of ``budget`` padded tokens at most.
+def batch_plan(rows: DataFrame, id_col: str, size_col: str, budget: int, by: str | None = None) -> DataFrame:
+    """([by,] id, size, batch_no, batch_rows, width): longest first, greedy batches of ``budget`` padded tokens at most.
 
-    ``batch_no`` counts within the partition that an encoder would run in; there is no shuffle.
+    ``batch_no`` counts within each value of ``by``, which is what an encoder's task gets; without it within the partitions
+    that the table has, without a shuffle.  A row beyond the budget is a batch of its own.
     """
-    kind = rows.schema[id_col].dataType.simpleString()
+    keys = [by] if by else []
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, id_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = 0
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            sizes = b.column(1).to_numpy(zero_copy_only=False)
-            no = np.array(layout.token_batches(sizes.tolist(), budget), dtype=np.int64)
-            if not len(no):
+            if not by:
+                held.append(b)
                 continue
-            n = np.bincount(no)
-            width = np.zeros(len(n), dtype=np.int64)
-            np.maximum.at(width, no, sizes)
-            wide = np.array([layout.power_of_two(w) for w in width])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int64)), pa.array(no + base), pa.array(n[no]), pa.array(wide[no])], [id_col, size_col, "batch_no", "batch_rows", "width"])
-            base += int(no[-1]) + 1
-
-    ordered = rows.select(id_col, F.col(size_col).cast("bigint")).sortWithinPartitions(F.desc(size_col), id_col)
-    return ordered.mapInArrow(run, f"{id_col} {kind}, {size_col} bigint, batch_no bigint, batch_rows bigint, width bigint")
+            part = b.column(0)
+            cuts = [0, *(np.flatnonzero(np.asarray(pc.not_equal(part[1:], part[:-1]).fill_null(True))) + 1).tolist(), len(b)] if len(b) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and held[0].column(0)[0] != part[lo]:
+                    yield planned(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield planned(held)
+
+    def planned(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        sizes = t.column(size_col).to_numpy()
+        no = np.array(layout.token_batches(sizes.tolist(), budget), dtype=np.int64)
+        n = np.bincount(no) if len(no) else np.zeros(0, dtype=np.int64)
+        width = np.zeros(len(n), dtype=np.int64)
+        np.maximum.at(width, no, sizes)
+        wide = np.array([layout.power_of_two(w) for w in width], dtype=np.int64)
+        first = [t.column(c).combine_chunks() for c in (*keys, id_col)]
+        return pa.RecordBatch.from_arrays([*first, pa.array(sizes.astype(np.int64)), pa.array(no), pa.array(n[no]), pa.array(wide[no])], [*keys, id_col, size_col, "batch_no", "batch_rows", "width"])
+
+    ordered = rows.select(*keys, id_col, F.col(size_col).cast("bigint"))
+    ordered = ordered.repartition(by).sortWithinPartitions(by, F.desc(size_col), id_col) if by else ordered.sortWithinPartitions(F.desc(size_col), id_col)
+    return ordered.mapInArrow(run, ", ".join([*kinds, f"{size_col} bigint", "batch_no bigint", "batch_rows bigint", "width bigint"]))

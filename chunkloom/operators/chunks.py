@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from chunkloom.config import ChunkConfig, Options
 from chunkloom.functions import layout
 from chunkloom.operators import text as tx
-from chunkloom.operators.encoders import HashContextEncoder, TokenEncoder, hash_token, token_hash
+from chunkloom.operators.encoders import HashContextEncoder, TokenEncoder, batched, hash_token, run_batches, token_hash
+from chunkloom.operators.tokenizer import VocabularyTokenizer
 
 PLAN = "config_no int, chunk_no int, seq_no int, first_sent int, last_sent int, num_sents int, is_split boolean, n_tokens int, tok_lo int, tok_hi int, sent_lo int, opens boolean, closes boolean"
+#: Where a chunk's tokens are in the text, if a tokenizer with a vocabulary says so, else -1.
+PLACES = "char_lo int, char_hi int"
 _PLAN_TYPE = pa.struct([(n, {"int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in PLAN.split(", "))])
 CLS, SEP = "[CLS]", "[SEP]"
 
@@ -41,7 +44,7 @@ def greedy_chunks(counts: Column, most: int, sents: int | None = None, overlap:
 
     @F.arrow_udf("array<struct<first: int, last: int, piece: int, n_tokens: int>>")
     def run(rows: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("first", "last", "piece", "n_tokens"), c)) for c in layout.greedy(r.as_py() or [], most, sents, overlap, split)] for r in rows], pa.list_(item))
+        return _structs([layout.greedy(r or [], most, sents, overlap, split) for r in rows.to_pylist()], item)
 
     return run(counts)
 
@@ -54,15 +57,22 @@ def packed_sequences(counts: Column, room: int, overlap: float | int = 0.5) -> C
     @F.arrow_udf("array<struct<seq_no: int, first_sent: int, first_sub: int, last_sent: int, last_sub: int, n_tokens: int>>")
     def run(rows: pa.Array) -> pa.Array:
         out = []
-        for r in rows:
-            us = layout.units(r.as_py() or [], room)
+        for r in rows.to_pylist():
+            us = layout.units(r or [], room)
             seqs = layout.sequences([u.n for u in us], room, overlap)
-            out.append([dict(zip(names, (k, us[a].sent, us[a].sub, us[b].sent, us[b].sub, sum(u.n for u in us[a : b + 1])))) for k, (a, b) in enumerate(seqs)])
-        return pa.array(out, pa.list_(item))
+            out.append([(k, us[a].sent, us[a].sub, us[b].sent, us[b].sub, us[b].lo + us[b].n - us[a].lo) for k, (a, b) in enumerate(seqs)])
+        return _structs(out, item)
 
     return run(counts)
 
 
+def _structs(rows: list[list[tuple]], item: pa.StructType) -> pa.Array:
+    """A list column of structs of whole numbers, from flat columns."""
+    flat = np.array([x for r in rows for x in r], dtype=np.int32).reshape(-1, len(item))
+    fields = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(len(item))], fields=list(item))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32()), fields)
+
+
 def long_units(counts: Column, length: int) -> Column:
     """array<struct<sent,sub,n>>: sentences cut every ``length`` tokens, in the JVM."""
     pieces = F.transform(
@@ -78,13 +88,15 @@ def long_units(counts: Column, length: int) -> Column:
 class Plan:
     """How a document is cut: what ``embedded`` does to each row, as data."""
 
-    def __init__(self, configs: Sequence[ChunkConfig], max_length: int = 512, overlap_sents: int = 0, prechunk: bool = True, prechunk_overlap: float | int = 0.5, split: bool = True, keep_tail: bool = False, exclude_specials: bool = True, count_specials: bool = True, deduplicate: str | None = "average", prompt: str | None = None):
+    def __init__(self, configs: Sequence[ChunkConfig], max_length: int = 512, overlap_sents: int = 0, prechunk: bool = True, prechunk_overlap: float | int = 0.5, split: bool = True, keep_tail: bool = False, exclude_specials: bool = True, count_specials: bool = True, deduplicate: str | None = "average", prompt: str | None = None, budget: int = 16384, lead: np.ndarray | None = None, ends: tuple[int | None, int | None] | None = None, pad: int = 0):
         self.configs, self.max_length, self.overlap_sents = list(configs), max_length, overlap_sents
         self.prechunk, self.prechunk_overlap, self.split, self.keep_tail = prechunk, prechunk_overlap, split, keep_tail
         self.exclude_specials, self.count_specials = exclude_specials, count_specials
         self.deduplicate = deduplicate if prechunk else None
-        self.prompt_tokens = [m[0].lower() for m in tx._PY_TOKEN.finditer(prompt or "")]
-        self.room = max_length - 2 - len(self.prompt_tokens)
+        self.budget = budget
+        self.lead = lead if lead is not None else np.array([hash_token(m[0].lower()) for m in tx._PY_TOKEN.finditer(prompt or "")], dtype=np.int64)
+        self.ends, self.pad = (hash_token(CLS), hash_token(SEP)) if ends is None else ends, pad
+        self.room = max_length - sum(x is not None for x in self.ends) - len(self.lead)
         if self.room < 1:
             raise ValueError("max_length leaves no room beside the special tokens and the prompt")
         for c in self.configs:
@@ -134,8 +146,8 @@ class Plan:
             return [(a, b, own[a].lo, own[b].lo + own[b].n - own[a].lo, False) for a, b in layout.sentence_windows(len(own), cfg.max_sents, self.overlap_sents, keep_tail=self.keep_tail)]
         sizes = [u.n for u in own]
         if self.count_specials and sizes:
-            sizes[0] += not self.prompt_tokens
-            sizes[-1] += 1
+            sizes[0] += self.ends[0] is not None and not len(self.lead)
+            sizes[-1] += self.ends[1] is not None
         out = []
         for a, b, piece, _ in layout.greedy(sizes, cfg.max_tokens, cfg.max_sents, self.overlap_sents, self.split):
             if piece < 0:
@@ -160,77 +172,150 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
     return toks.select(id_col, "sents", F.transform(F.flatten("toks"), token_hash).alias("hashes"), F.transform("toks", F.size).alias("counts"))
 
 
-def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncoder | None = None, id_col: str = "doc_id", text_col: str = "text", method: str = "regex") -> DataFrame:
-    """(id, sents, __chunk): a row for each chunk with the fields of ``PLAN`` and ``embedding``; vectors are not post-processed."""
-    enc = encoder or HashContextEncoder(options.dim, options.context)
+def prepared_by(tokenizer: VocabularyTokenizer, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: str = "regex") -> DataFrame:
+    """(id, text, sents, hashes, counts, starts, ends): as ``prepared``, with the ids of a vocabulary and the places of tokens.
+
+    All tokens of a text with a sentence are kept: one between two sentences belongs to the earlier, one before the first to the first.
+    """
+    fields = {"sents": "array<string>", "hashes": "array<bigint>", "counts": "array<int>", "starts": "array<int>", "ends": "array<int>"}
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: {t}" for n, t in fields.items()) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        every = [t or "" for t in texts.to_pylist()]
+        spans = tx.sentence_offsets(every, method)
+        ids, places, sizes = tokenizer([t if s else "" for t, s in zip(every, spans)])
+        tokenizer.check(ids)
+        base, counts = 0, []
+        for s, n in zip(spans, sizes.tolist()):
+            cuts = np.maximum.accumulate(np.searchsorted(places[base : base + n, 1], [a for a, _ in s], side="right")) if s else np.zeros(0, dtype=np.int64)
+            cuts[:1] = 0
+            counts.append(np.diff(np.append(cuts, n)) if s else cuts)
+            base += n
+        list_of = lambda v, n, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(v, kind))
+        n_sents = [len(s) for s in spans]
+        columns = [
+            list_of([t[a:b] for t, s in zip(every, spans) for a, b in s], n_sents, pa.string()), list_of(ids, sizes, pa.int64()),
+            list_of(np.concatenate(counts) if counts else [], n_sents, pa.int32()), list_of(places[:, 0], sizes, pa.int32()), list_of(places[:, 1], sizes, pa.int32()),
+        ]
+        return pa.StructArray.from_arrays(columns, names=list(fields))
+
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text"), run(F.col(text_col)).alias("p")).select(id_col, "__text", "p.*")
+
+
+def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncoder | None = None, id_col: str = "doc_id", text_col: str = "text", method: str = "regex", tokenizer: VocabularyTokenizer | None = None) -> DataFrame:
+    """(id, __text, sents, __chunk): a row for each chunk with the fields of ``PLAN``, ``PLACES`` and ``embedding``.
+
+    Vectors are post-processed sequence by sequence, so that the mean of a chunk that two sequences have may be shorter than they are.
+
+    ``__text`` is there only with a tokenizer.
+    """
+    enc = batched(encoder or HashContextEncoder(options.dim, options.context))
     dims = min(enc.dim, options.truncate_dims or enc.dim)
-    item = [*_PLAN_TYPE, pa.field("embedding", pa.list_(pa.float64()))]
-    lead = np.array([hash_token(w) for w in plan.prompt_tokens], dtype=np.int64)
-    ends = np.array([hash_token(CLS), hash_token(SEP)], dtype=np.int64)
-
-    @F.arrow_udf(f"array<struct<{PLAN.replace(' ', ': ').replace(',:', ',')}, embedding: array<double>>>")
-    def run(hashes: pa.Array, counts: pa.Array) -> pa.Array:
-        special = enc.tokens(ends)[:, :dims]
-        flat, sizes = [], [0]
-        for h, c in zip(hashes, counts):
-            h = h.values.to_numpy() if h.is_valid else np.zeros(0, dtype=np.int64)
-            rows = plan.rows(c.as_py() or [])
-            chunks, i = [], 0
-            while i < len(rows):
-                j = i
-                while j < len(rows) and rows[j][2] == rows[i][2]:
-                    j += 1
-                lo, hi = rows[i][13:15]
-                vec = enc.tokens(np.concatenate([lead, h[lo:hi]]))
-                ctx = enc.context(vec)
-                vec = vec[len(lead) :, :dims]
-                ctx = None if ctx is None else ctx[:dims]
-                for r in rows[i:j]:
-                    total, n = vec[r[8] - lo : r[9] - lo].sum(axis=0), r[7]
-                    if not plan.exclude_specials:
-                        for on, v in ((r[11] and not len(lead), special[0]), (r[12], special[1])):
-                            if on:
-                                total, n = total + v, n + 1
-                    mean = total / n + (0 if ctx is None else ctx) if n else np.zeros(dims)
-                    chunks.append((r, mean))
-                i = j
-            if plan.deduplicate:
-                chunks = _deduplicated(chunks, plan.deduplicate)
-            flat += chunks
-            sizes.append(len(flat))
-        # Columns of flat values, not a Python object for every chunk.
-        values = list(zip(*(r for r, _ in flat))) or [()] * len(_PLAN_TYPE)
-        vectors = np.concatenate([v for _, v in flat]) if flat else np.zeros(0)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dims, pa.int32()), pa.array(vectors, pa.float64()))
-        rows = pa.StructArray.from_arrays([*(pa.array(v, f.type) for v, f in zip(values, _PLAN_TYPE)), lists], fields=item)
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
-
-    pre = prepared(docs, id_col, text_col, method)
-    return pre.select(id_col, "sents", F.explode(run("hashes", "counts")).alias("__chunk"))
-
-
-def _deduplicated(chunks: list[tuple[tuple, np.ndarray]], how: str) -> list[tuple[tuple, np.ndarray]]:
-    """One chunk for each (configuration, token range): the mean vector or the first; numbered by configuration and place."""
+    item = [*_PLAN_TYPE, pa.field("char_lo", pa.int32()), pa.field("char_hi", pa.int32()), pa.field("embedding", pa.list_(pa.float64()))]
+    lead = plan.lead
+    names = [f.name for f in _PLAN_TYPE]
+
+    @F.arrow_udf(f"array<struct<{(PLAN + ', ' + PLACES).replace(' ', ': ').replace(',:', ',')}, embedding: array<double>>>")
+    def run(hashes: pa.Array, counts: pa.Array, *places: pa.Array) -> pa.Array:
+        flat, base = _flat(hashes)
+        rows, sizes = [], []
+        for c in counts.to_pylist():
+            own = plan.rows(c or [])
+            rows += own
+            sizes.append(len(own))
+        table = np.array(rows, dtype=np.int64).reshape(-1, len(names) + 2)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        col = {n: table[:, k] for k, n in enumerate(names)}
+        # Rows of a sequence stand together.
+        new = np.ones(len(table), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (col["seq_no"][1:] != col["seq_no"][:-1])
+        begin = np.flatnonzero(new)
+        behind = np.append(begin, len(table))[1:]
+        lo, hi = (table[begin, k] + base[doc[begin]] for k in (-2, -1))
+        mean = np.zeros((len(table), dims))
+
+        def pool(own, first, vectors, cls, sep, context):
+            n = (behind - begin)[own]
+            of = np.repeat(np.arange(len(own)), n)
+            r = np.arange(n.sum()) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
+            shift = (first - table[begin[own], -2])[of]
+            a, z = col["tok_lo"][r] + shift, col["tok_hi"][r] + shift
+            padded = np.concatenate([vectors[:, :dims], np.zeros((1, dims))])
+            total = np.add.reduceat(padded, np.stack([a, z], axis=1).ravel(), axis=0)[::2]
+            total[a == z] = 0
+            size = z - a
+            if not plan.exclude_specials:
+                opens, closes = col["opens"][r].astype(bool) & (not len(lead)), col["closes"][r].astype(bool)
+                if cls is not None:
+                    total, size = total + np.where(opens[:, None], cls[of, :dims], 0), size + opens
+                if sep is not None:
+                    total, size = total + np.where(closes[:, None], sep[of, :dims], 0), size + closes
+            value = total / np.maximum(size, 1)[:, None] + (0 if context is None else context[of, :dims])
+            mean[r] = np.where(size[:, None] > 0, value, 0)
+
+        run_batches(enc, flat, lo, hi, lead, plan.ends, plan.pad, plan.budget, pool)
+        mean = finished(mean, options)
+        keep = np.arange(len(table))
+        if plan.deduplicate:
+            keep, mean, col["chunk_no"] = _deduplicated(doc, col, mean, plan.deduplicate)
+            sizes = np.bincount(doc[keep], minlength=len(sizes))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * dims, pa.int32()), pa.array(mean.ravel(), pa.float64()))
+        values = [col[n] if n == "chunk_no" and plan.deduplicate else col[n][keep] for n in names]
+        chars = [np.full(len(keep), -1)] * 2
+        if places and len(keep):
+            a, z = (col[n][keep] + base[doc[keep]] for n in ("tok_lo", "tok_hi"))
+            starts, stops = (_flat(x)[0] for x in places)
+            chars = [np.where(z > a, np.append(starts, 0)[a], -1), np.where(z > a, stops[z - 1] if len(stops) else 0, -1)]
+        values += chars
+        out = pa.StructArray.from_arrays([*(pa.array(v.astype(bool) if f.type == pa.bool_() else v, f.type) for v, f in zip(values, item)), lists], fields=item)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), out)
+
+    if tokenizer is None:
+        return prepared(docs, id_col, text_col, method).select(id_col, "sents", F.explode(run("hashes", "counts")).alias("__chunk"))
+    return prepared_by(tokenizer, docs, id_col, text_col, method).select(id_col, "__text", "sents", F.explode(run("hashes", "counts", "starts", "ends")).alias("__chunk"))
+
+
+def finished(vectors: np.ndarray, options: Options) -> np.ndarray:
+    """Half precision first, then unit length; the same as ``vectors.postprocessed``."""
+    if options.half:
+        with np.errstate(over="ignore"):
+            vectors = vectors.astype(np.float16).astype(np.float64)
+    return vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1)), 1e-12)[:, None] if options.normalize else vectors
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column and where each row's begin; null rows have none."""
+    size = np.asarray(lists.value_lengths().fill_null(0))
+    return lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+
+
+def _deduplicated(doc: np.ndarray, col: dict[str, np.ndarray], mean: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, vectors, numbers): one row for each document, configuration and token range, with the mean vector or the first; numbered by place."""
     if how not in ("average", "first"):
         raise ValueError(f"Invalid method: {how!r}")
-    groups: dict[tuple, list[tuple[tuple, np.ndarray]]] = {}
-    for r, v in chunks:
-        groups.setdefault((r[0], r[3], r[4], r[8], r[9]), []).append((r, v))
-    out, number = [], {}
-    for key in sorted(groups):
-        own = groups[key]
-        k = number[key[0]] = number.get(key[0], -1) + 1
-        first = own[0][0]
-        out.append(((first[0], k, *first[2:]), sum(v for _, v in own) / len(own) if how == "average" else own[0][1]))
-    return out
-
-
-def chunk_text(sents: Column, chunk: Column) -> Column:
-    """The chunk's sentences joined by blanks; a part of a sentence is cut at its tokens."""
+    keys = (doc, *(col[n] for n in ("config_no", "first_sent", "last_sent", "tok_lo", "tok_hi")))
+    order = np.lexsort(keys[::-1])
+    if not len(order):
+        return order, mean, order
+    differs = lambda ks: np.append(True, np.any([k[order][1:] != k[order][:-1] for k in ks], axis=0))
+    at = np.flatnonzero(differs(keys))
+    first = np.minimum.reduceat(order, at)  # rows are in the order of sequences
+    if how == "average":
+        vectors = np.add.reduceat(mean[order], at, axis=0) / np.diff(np.append(at, len(order)))[:, None]
+    else:
+        vectors = mean[first]
+    part = np.flatnonzero(differs(keys[:2])[at])
+    return first, vectors, np.arange(len(at)) - np.repeat(part, np.diff(np.append(part, len(at))))
+
+
+def chunk_text(sents: Column, chunk: Column, text: Column | None = None) -> Column:
+    """The chunk's sentences joined by blanks; a part of a sentence is cut at its tokens, by their places in the text if these are known."""
     whole = F.array_join(F.slice(sents, chunk["first_sent"] + 1, chunk["last_sent"] - chunk["first_sent"] + 1), " ")
-    joined = F.array_join(F.slice(sents, chunk["first_sent"] + 1, chunk["last_sent"] - chunk["first_sent"] + 1), " ")
-    pieces = F.regexp_extract_all(joined, F.lit(tx.TOKEN + r"[^\p{L}\p{N}]*"), F.lit(0))
-    part = F.rtrim(F.array_join(F.slice(pieces, chunk["sent_lo"] + 1, F.greatest(chunk["n_tokens"], F.lit(0))), ""))
+    if text is not None:
+        part = F.trim(F.substring(text, chunk["char_lo"] + 1, chunk["char_hi"] - chunk["char_lo"]))
+    else:
+        pieces = F.regexp_extract_all(whole, F.lit(tx.TOKEN + r"[^\p{L}\p{N}]*"), F.lit(0))
+        part = F.rtrim(F.array_join(F.slice(pieces, chunk["sent_lo"] + 1, F.greatest(chunk["n_tokens"], F.lit(0))), ""))
     return F.when(chunk["is_split"], part).otherwise(whole)
 
 

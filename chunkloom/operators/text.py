@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,18 +111,35 @@ def segment(text: Column, method: str = "regex") -> Column:
 
     @F.arrow_udf("array<struct<start: int, end: int, text: string>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"start": a, "end": b, "text": t[a:b]} for a, b in cut(t)] if (t := x.as_py()) else [] for x in texts], pa.list_(item))
+        every = texts.to_pylist()
+        spans = [cut(t) if t else [] for t in every]
+        flat = _spans([x for r in spans for x in r])
+        words = pa.array([t[a:b] for t, r in zip(every, spans) for a, b in r], pa.string())
+        return _rows([len(r) for r in spans], [pa.array(flat[:, 0]), pa.array(flat[:, 1]), words], item)
 
     return run(text)
 
 
+def _spans(flat: list[tuple[int, int]]) -> np.ndarray:
+    return np.array(flat, dtype=np.int32).reshape(-1, 2)
+
+
+def _rows(sizes: list[int], columns: list[pa.Array], item: pa.StructType) -> pa.Array:
+    """A list column of structs from flat columns."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(item)))
+
+
 def locate_tokens(text: Column) -> Column:
     """array<struct<token,start,end>>: lower-case tokens with their places in the text."""
     item = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     @F.arrow_udf("array<struct<token: string, start: int, end: int>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"token": m[0].lower(), "start": m.start(), "end": m.end()} for m in _PY_TOKEN.finditer(x.as_py() or "")] for x in texts], pa.list_(item))
+        every = [t or "" for t in texts.to_pylist()]
+        spans = [[m.span() for m in _PY_TOKEN.finditer(t)] for t in every]
+        flat = _spans([x for r in spans for x in r])
+        words = pa.array([w.lower() for t in every for w in _PY_TOKEN.findall(t)], pa.string())
+        return _rows([len(r) for r in spans], [words, pa.array(flat[:, 0]), pa.array(flat[:, 1])], item)
 
     return run(text)
 
@@ -140,21 +158,32 @@ def tokens(docs: DataFrame, method: str = "regex", id_col: str = "doc_id", text_
     shift = len(prompt or "")
     item = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sent_id", pa.int32())])
 
+    member("method", method, SEGMENTERS)
+    cut, lead = _METHODS[method], prompt or ""
+
     @F.arrow_udf("array<struct<token: string, start: int, end: int, sent_id: int>>")
-    def assign(texts: pa.Array, sents: pa.Array) -> pa.Array:
-        out = []
-        for x, s in zip(texts, sents.to_pylist()):
-            row, k = [], 0
-            for m in _PY_TOKEN.finditer((prompt or "") + (x.as_py() or "")):
-                a, b = m.start() - shift, m.end() - shift
-                while k < len(s) and s[k]["end"] <= a:
-                    k += 1
-                row.append({"token": m[0].lower(), "start": a, "end": b, "sent_id": k if k < len(s) and s[k]["start"] <= a and b <= s[k]["end"] else None})
-            out.append(row)
-        return pa.array(out, pa.list_(item))
+    def assign(texts: pa.Array) -> pa.Array:
+        every = [t or "" for t in texts.to_pylist()]
+        spans = [[m.span() for m in _PY_TOKEN.finditer(lead + t)] for t in every]
+        words = pa.array([w.lower() for t in every for w in _PY_TOKEN.findall(lead + t)], pa.string())
+        sizes = [len(r) for r in spans]
+        flat = _spans([x for r in spans for x in r]) - shift
+        sents = [cut(t) for t in every]
+        bounds = _spans([x for r in sents for x in r]).astype(np.int64)
+        # All rows at once: places are moved apart by row, so that one search finds the sentence in which a token begins.
+        wide = max((len(t) for t in every), default=0) + shift + 2
+        row, own = (np.repeat(np.arange(len(every)), [len(r) for r in x]) for x in (spans, sents))
+        at = np.searchsorted(bounds[:, 0] + own * wide, flat[:, 0] + row * wide, side="right") - 1
+        number = np.arange(len(own)) - np.repeat(np.cumsum([0, *map(len, sents)])[:-1], [len(r) for r in sents])
+        if len(own):
+            inside = (at >= 0) & (own[at] == row) & (flat[:, 1] <= bounds[at, 1])
+            sent = np.where(inside, number[at], 0)
+        else:
+            inside, sent = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=np.int64)
+        return _rows(sizes, [words, pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(sent.astype(np.int32), mask=~inside)], item)
 
     t = F.col(text_col)
-    return docs.select(id_col, F.posexplode(assign(t, segment(t, method))).alias("tok_id", "t")).select(id_col, "tok_id", "t.token", "t.start", "t.end", "t.sent_id")
+    return docs.select(id_col, F.posexplode(assign(t)).alias("tok_id", "t")).select(id_col, "tok_id", "t.token", "t.start", "t.end", "t.sent_id")
 
 
 def overflow_windows(tokens: Column, max_length: int, stride: int) -> Column:

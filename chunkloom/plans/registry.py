@@ -15,6 +15,8 @@ from chunkloom.operators import text as tx
 from chunkloom.operators import vectors as vx
 from chunkloom.operators.order import numbered
 from chunkloom.plans import sql as q
+from chunkloom.sources.tables import spread
+from chunkloom.streaming.encode import encode_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,10 +495,24 @@ def document_prompt_embed(spark, sf_dir):
 # --- batching and reports
 
 
-@query()
+_POW2 = "CASE WHEN {x} <= 1 THEN 1 ELSE CAST(pow(2, ceil(log2({x}))) AS BIGINT) END"
+
+
+@query(
+    rf"""WITH RECURSIVE n AS (SELECT doc_id % 8 AS task, doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS n_tokens FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n_tokens DESC, doc_id) AS i FROM n),
+    step AS (
+        SELECT task, i, CAST(0 AS BIGINT) AS batch_no, CAST(1 AS BIGINT) AS held, {_POW2.format(x="n_tokens")} AS width FROM r WHERE i = 1
+        UNION ALL
+        SELECT s.task, r.i, CASE WHEN (s.held + 1) * s.width <= 16384 THEN s.batch_no ELSE s.batch_no + 1 END, CASE WHEN (s.held + 1) * s.width <= 16384 THEN s.held + 1 ELSE 1 END,
+               CASE WHEN (s.held + 1) * s.width <= 16384 THEN s.width ELSE {_POW2.format(x="r.n_tokens")} END
+        FROM step s JOIN r ON r.task = s.task AND r.i = s.i + 1)
+    SELECT r.task, r.doc_id, r.n_tokens, s.batch_no, count(*) OVER (PARTITION BY r.task, s.batch_no) AS batch_rows, s.width FROM step s JOIN r USING (task, i)"""
+)
 def batch_plan(spark, sf_dir):
-    n = docs(spark, sf_dir).select("doc_id", F.size(tx.words(F.coalesce("text", F.lit("")))).alias("n_tokens"))
-    return bt.batch_plan(n, "doc_id", "n_tokens", 16384)
+    """The batches that ``encode`` makes, for eight tasks."""
+    n = docs(spark, sf_dir).select((F.col("doc_id") % 8).alias("task"), "doc_id", F.size(tx.words(F.coalesce("text", F.lit("")))).alias("n_tokens"))
+    return bt.batch_plan(n, "doc_id", "n_tokens", 16384, "task")
 
 
 @query(r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n FROM documents)
@@ -513,11 +529,16 @@ def memory_report(spark, sf_dir):
     return vx.memory_report(table(spark, sf_dir, "embeddings"), "label")
 
 
+@query(_pooled_sql(2, 1))
+def encode_stream_windows(spark, sf_dir):
+    """``pool_mean``, by Structured Streaming."""
+    how = {"prechunk": False, "max_length": 1 << 30, "return_text": False, "keep_tail": True, "max_chunk_sents": 2, "chunk_overlap_sents": 1}
+    return _dims(encode_once(spark, f"{sf_dir}/documents.parquet", LateChunker(), **how), "doc_id", "chunk_idx", "n_tokens")
+
+
 @query()
 def encode_stream(spark, sf_dir):
     """The same chunks, made by Structured Streaming from the documents' files."""
-    from chunkloom.streaming.encode import encode_once
-
     return encode_once(spark, f"{sf_dir}/documents.parquet", LateChunker(), max_chunk_tokens=64, max_chunk_sents=4).select("doc_id", "chunk_idx", "num_sents", "is_split", "n_tokens", "chunk", *(F.round(F.get("embedding", F.lit(d)), 6).alias(e) for d, e in enumerate(DIMS)))
 
 

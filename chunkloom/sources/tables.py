@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths that ``stored`` has written inside each open ``scratch`` of this thread, the innermost last.
@@ -81,6 +83,24 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = root + (os.pathsep + have if have else "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table over all cores, where its Parquet files have fewer row groups than there are cores; as it is otherwise.
+
+    A row group is read by one task, so that a table of one group would keep one core busy.  At most as many footers are read
+    as there are cores, and a table that is shuffled here is no larger than that many row groups.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores or not all(f.endswith(".parquet") for f in files):
+        return df
+    groups = 0
+    for f in files:
+        system, path = fs.FileSystem.from_uri(f)
+        with system.open_input_file(path) as x:
+            groups += pq.ParquetFile(x).metadata.num_row_groups
+    return df if groups >= cores else df.repartition(cores)
+
+
 def from_strings(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
     """(doc_id, text); a document's id is its position.  An empty list is an error, as is anything but strings."""
     if not len(texts):

@@ -103,6 +103,13 @@ def test_order_and_batches(spark):
     assert numbered(df.where("false"), ["a"]).collect() == []
     plan = batch_plan(df.select("b", F.col("a").alias("n")), "b", "n", 256).collect()
     assert len(plan) == 101 and all(r.batch_rows == 1 or r.batch_rows * r.width <= 256 for r in plan)
+    by = batch_plan(df.select((F.col("b") % 3).alias("g"), "b", F.col("a").alias("n")), "b", "n", 256, "g").collect()
+    assert len(by) == 101 and all(r.batch_rows == 1 or r.batch_rows * r.width <= 256 for r in by)
+    for g in range(3):
+        own = sorted((r for r in by if r.g == g), key=lambda r: (-r.n, r.b))
+        from chunkloom.functions import layout
+
+        assert [r.batch_no for r in own] == layout.token_batches([r.n for r in own], 256)
     got = spark.createDataFrame([([1, 2, 3],), ([],)], "v array<int>").select(padded(F.col("v"), F.lit(0), power_of_two(F.size("v")))).collect()
     assert [r[0] for r in got] == [[1, 2, 3, 0], [0]]
     ns = spark.range(1, 70).select("id", power_of_two(F.col("id")).alias("p")).collect()
