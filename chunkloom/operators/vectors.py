@@ -6,13 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.config import Options
+from chunkloom.sources.tables import stored
 
-#: Beyond so many numbers of query vectors, search joins instead of sending them to all tasks.
-MOST_BROADCAST = 1 << 24
+#: Beyond so many numbers of query vectors, tasks read them from the shared folder instead of getting them sent.
+MOST_BROADCAST = 1 << 22
+#: Queries that are multiplied at once.
+QUERY_BLOCK = 2048
 
 
 def _sum(a: Column) -> Column:
@@ -83,74 +89,112 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, weight: Column | N
     return flat.groupBy(*keys, "dim").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("value"))
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "dot", most: int = MOST_BROADCAST, digits: int = 6) -> DataFrame:
+def top_k(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "dot", most: int = MOST_BROADCAST, digits: int = 6) -> DataFrame:
     """(query_id, rank, <item keys>, score): for each query the k best items; ``items`` has key columns and a last column ``embedding``,
-    ``queries`` has (query_id, embedding).
+    ``queries`` has (query_id, embedding).  Without k, every item's score for every query, unranked: (query_id, <item keys>, score).
 
-    Scores are rounded first, ties go to the least keys.  If the queries have at most ``most`` numbers they go to all tasks, which multiply
-    matrices and keep their own best k, so that at most k rows a query and task are shuffled.  Beyond that, queries
-    and items meet in a join and the scores are expressions.  Null vectors and, for cosine, zero vectors match nothing.
+    Scores are rounded first (a half upwards), ties go to the least keys.  Vectors that are null or empty or hold a null, NaN or infinity match
+    nothing, nor do zero vectors with cosine, nor vectors of different length each other.
+
+    Every task multiplies its items with blocks of queries and keeps the best k of a query, so that items don't move and at most k rows a query and
+    task are shuffled.  If the queries have at most ``most`` numbers they are sent to all tasks; beyond that they are stored in
+    the shared folder and tasks read block after block.  The result is the same.
     """
     if metric not in ("dot", "cosine"):
         raise ValueError(f"Invalid metric: {metric!r}")
     keys = [c for c in items.columns if c != "embedding"]
-    items, queries = items.where("embedding is not null"), queries.where("embedding is not null and query_id is not null")
-    total = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    wanted = queries.where("embedding is not null and query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    total = wanted.agg(F.sum(F.size("embedding"))).first()[0] or 0
     if total <= most:
-        scored = _matrix(items, queries, keys, k, metric, digits)
+        small, files = items.sparkSession.sparkContext.broadcast(wanted.toArrow()), []
     else:
-        f = dot if metric == "dot" else cosine
-        q = queries.withColumnRenamed("embedding", "q")
-        scored = items.crossJoin(q).withColumn("score", F.round(f(F.col("embedding"), F.col("q")), digits)).where("score is not null").select("query_id", *keys, "score")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", *keys, "score")
-
-
-def _matrix(items: DataFrame, queries: DataFrame, keys: list[str], k: int, metric: str, digits: int) -> DataFrame:
-    rows = queries.orderBy("query_id").collect()
+        small, files = None, stored(wanted, "queries").inputFiles()
     kind = queries.schema["query_id"].dataType.simpleString()
-    q = np.array([r.embedding for r in rows], dtype=np.float64)
-    if metric == "cosine" and len(rows):
-        n = np.linalg.norm(q, axis=1)
-        rows, q, n = [r for r, x in zip(rows, n) if x > 0], q[n > 0], n[n > 0]
-        q /= n[:, None]
-    shared = items.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], q))
-    out_type = f"query_id {kind}, " + ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in keys) + ", score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        if not len(ids):
-            return
-        name = pa.array(ids)
-        held: pa.Table | None = None
-        for b in batches:
-            for lo in range(0, len(b), 1024):
-                part = b.slice(lo, 1024)
-                v = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
-                if metric == "cosine":
-                    n = np.linalg.norm(v, axis=1)
-                    ok = n > 0
-                    part, v = part.filter(pa.array(ok)), v[ok] / n[ok][:, None]
-                if not len(part):
+    out_type = f"query_id {kind}, " + ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in keys) + ", score double"
+    names = ["query_id", *keys, "score"]
+
+    def blocks() -> Iterator[pa.Table]:
+        if small is not None:
+            for lo in range(0, len(small.value), QUERY_BLOCK):
+                yield small.value.slice(lo, QUERY_BLOCK)
+        for f in files:
+            system, path = fs.FileSystem.from_uri(f)
+            with system.open_input_file(path) as x:
+                for b in pq.ParquetFile(x).iter_batches(QUERY_BLOCK, columns=["query_id", "embedding"]):
+                    yield pa.Table.from_batches([b])
+
+    def scored(part: pa.Table) -> Iterator[pa.Table]:
+        own = {v.shape[1]: (rows, v) for rows, v in matrices(part.column("embedding"), metric == "cosine")}
+        for block in blocks():
+            ids = block.column("query_id").combine_chunks()
+            for at, q in matrices(block.column("embedding"), metric == "cosine"):
+                if q.shape[1] not in own:
                     continue
-                s = np.round(v @ q.T, digits)
+                rows, v = own[q.shape[1]]
+                s = np.floor(v @ q.T * 10.0**digits + 0.5) / 10.0**digits
                 # All that reach the k-th best score of this part stay: ties are settled by keys later.
-                cut = np.partition(s, len(part) - min(k, len(part)), axis=0)[len(part) - min(k, len(part))]
+                cut = -np.inf if k is None else np.partition(s, len(rows) - min(k, len(rows)), axis=0)[len(rows) - min(k, len(rows))]
                 i, j = np.nonzero(s >= cut)
-                new = pa.Table.from_arrays([name.take(pa.array(j)), *(part.column(c).take(pa.array(i)) for c in keys), pa.array(s[i, j])], ["query_id", *keys, "score"])
-                held = new if held is None else pa.concat_tables([held, new])
-                if len(held) > 8 * k * len(ids) + 65536:
-                    held = _best(held, keys, k)
-        if held is not None:
-            yield from _best(held, keys, k).to_batches()
+                yield pa.Table.from_arrays([ids.take(pa.array(at[j])), *(part.column(c).combine_chunks().take(pa.array(rows[i])) for c in keys), pa.array(s[i, j])], names)
 
-    return items.mapInArrow(run, out_type)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for part in _parts(batches):
+            for new in scored(part):
+                if k is None:
+                    yield from new.combine_chunks().to_batches()
+                    continue
+                if small is None:  # as many queries as there may be: what is best of a part goes out at once
+                    yield from _best(new, keys, k).to_batches()
+                    continue
+                best = new if best is None else pa.concat_tables([best, new])
+                if len(best) > 8 * k * len(small.value) + 65536:
+                    best = _best(best, keys, k)
+        if best is not None:
+            yield from _best(best, keys, k).to_batches()
+
+    found = items.where("embedding is not null").select(*(F.col(f"`{c}`") for c in keys), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, out_type)
+    if k is None:
+        return found
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *(F.col(f"`{c}`") for c in keys))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", *(F.col(f"`{c}`") for c in keys), "score")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Table]:
+    """Tables of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        for lo in range(0, len(b), most):
+            held.append(b.slice(lo, most))
+            if sum(map(len, held)) >= most:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def matrices(column: pa.ChunkedArray | pa.Array, unit: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) for each length of vector, without those that match nothing; at unit length if asked."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.asarray(column.value_lengths().fill_null(0))
+    for d in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == d)
+        v = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        ok = np.isfinite(v).all(axis=1)
+        if unit:
+            n = np.sqrt((v * v).sum(axis=1))
+            ok &= n > 0
+            v = v[ok] / n[ok][:, None]
+        else:
+            v = v[ok]
+        if len(v):
+            yield rows[ok], v
 
 
 def _best(t: pa.Table, keys: list[str], k: int) -> pa.Table:
     t = t.sort_by([("query_id", "ascending"), ("score", "descending"), *((c, "ascending") for c in keys)]).combine_chunks()
-    q = t.column("query_id").to_numpy()
-    new = np.append(True, q[1:] != q[:-1])
+    q = t.column("query_id").combine_chunks()
+    new = np.append(True, np.asarray(pc.not_equal(q[1:], q[:-1])))
     at = np.flatnonzero(new)
     rank = np.arange(len(q)) - at[np.cumsum(new) - 1]
     return t.filter(pa.array(rank < k))

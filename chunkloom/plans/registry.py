@@ -421,13 +421,13 @@ def _rank(score: str, k: int) -> str:
         SELECT q.id AS query_id, p.doc_id, p.chunk_idx, {score} AS score, row_number() OVER (PARTITION BY q.id ORDER BY {score} DESC, p.doc_id, p.chunk_idx) AS rank FROM pool p, qvec q WHERE {_LEN['p']} > 0 AND {_LEN['q']} > 0) WHERE rank <= {k}"""
 
 
-@query(_CHUNK1 + " " + _rank(f"round({_DOT}, 4)", 5))
+@query(_CHUNK1 + " " + _rank(q.rounded(_DOT, 4), 5))
 def dot_scores(spark, sf_dir):
     c = _chunks3(spark, sf_dir).where(vx.norm(F.col("embedding")) > 0)
     return vx.top_k(c.select("doc_id", "chunk_idx", "embedding"), _queries(spark, sf_dir), 5, "dot", digits=4)
 
 
-@query(_CHUNK1 + " " + _rank(f"round(({_DOT}) / ({_LEN['p']} * {_LEN['q']}), 5)", 10))
+@query(_CHUNK1 + " " + _rank(q.rounded(f"({_DOT}) / ({_LEN['p']} * {_LEN['q']})", 5), 10))
 def contextual_search(spark, sf_dir):
     """The flagship: documents chunked, embedded in context, and searched for every test item."""
     c = _chunks3(spark, sf_dir)
@@ -437,8 +437,11 @@ def contextual_search(spark, sf_dir):
 _COS = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
-@query(_COS + """ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
-    SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 5) DESC, b.vec_id) AS rank FROM v a, v b) WHERE rank <= 4""")
+_COS_SCORE = q.rounded("list_cosine_similarity(a.e, b.e)", 5)
+
+
+@query(_COS + f""" SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, {_COS_SCORE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS_SCORE} DESC, b.vec_id) AS rank FROM v a, v b) WHERE rank <= 4""")
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return vx.top_k(v.select("vec_id", "embedding"), v.select(F.col("vec_id").alias("query_id"), "embedding"), 4, "cosine", digits=5)
@@ -447,22 +450,28 @@ def cosine_topk(spark, sf_dir):
 _SIM = f"sim AS (SELECT q.id AS query_id, p.doc_id, avg(({_DOT}) / ({_LEN['p']} * {_LEN['q']})) AS s FROM pool p, qvec q WHERE {_LEN['p']} > 0 AND {_LEN['q']} > 0 GROUP BY ALL)"
 
 
-def _by_doc(spark, sf_dir) -> DataFrame:
-    """Average cosine of a document's chunks to a query: the mean of unit vectors, times the unit query, so chunks are reduced to one vector a document before queries come in.  Adding 0 makes a negative zero positive."""
+def _doc_means(spark, sf_dir) -> DataFrame:
+    """(doc_id, embedding): the mean of a document's unit chunk vectors.  Its product with a unit query is the average cosine of
+    the document's chunks to the query, so chunks are reduced to one vector a document before queries come in."""
     unit = _chunks3(spark, sf_dir).where(vx.norm(F.col("embedding")) > 0).select("doc_id", vx.normalized(F.col("embedding")).alias("u"))
-    one = unit.groupBy("doc_id").agg(F.array(*(F.avg(F.get("u", F.lit(d))) for d in range(q.D))).alias("embedding"))
-    unit_q = _queries(spark, sf_dir).select("query_id", vx.normalized(F.col("embedding")).alias("q"))
-    return one.crossJoin(unit_q).select("query_id", "doc_id", (F.round(vx.dot(F.col("embedding"), F.col("q")), 5) + 0.0).alias("similarity"))
+    return unit.groupBy("doc_id").agg(F.array(*(F.avg(F.get("u", F.lit(d))) for d in range(q.D))).alias("embedding"))
+
+
+def _unit_queries(spark, sf_dir) -> DataFrame:
+    return _queries(spark, sf_dir).where(vx.norm(F.col("embedding")) > 0).select("query_id", vx.normalized(F.col("embedding")).alias("embedding"))
 
 
-@query(_CHUNK1 + f", {_SIM} SELECT query_id, doc_id, round(s, 5) + 0.0::DOUBLE AS similarity FROM sim")
+@query(_CHUNK1 + f", {_SIM} SELECT query_id, doc_id, {q.rounded('s', 5)} + 0.0::DOUBLE AS similarity FROM sim")
 def doc_avg_similarity(spark, sf_dir):
-    return _by_doc(spark, sf_dir)
+    """A report of all documents for all queries."""
+    means = _doc_means(spark, sf_dir)
+    found = vx.top_k(means, _unit_queries(spark, sf_dir), None, "dot", digits=5)
+    return found.select("query_id", "doc_id", (F.col("score") + 0.0).alias("similarity"))
 
 
-@query(_CHUNK1 + f", {_SIM} SELECT query_id, min_by(doc_id, (-round(s, 5), doc_id)) AS doc_id, max(round(s, 5)) AS similarity FROM sim GROUP BY query_id")
+@query(_CHUNK1 + f", {_SIM} SELECT query_id, min_by(doc_id, (-{q.rounded('s', 5)}, doc_id)) AS doc_id, max({q.rounded('s', 5)}) + 0.0::DOUBLE AS similarity FROM sim GROUP BY query_id")
 def best_doc(spark, sf_dir):
-    return _by_doc(spark, sf_dir).groupBy("query_id").agg(F.min_by("doc_id", F.struct(-F.col("similarity"), "doc_id")).alias("doc_id"), F.max("similarity").alias("similarity"))
+    return vx.top_k(_doc_means(spark, sf_dir), _unit_queries(spark, sf_dir), 1, "dot", digits=5).select("query_id", "doc_id", (F.col("score") + 0.0).alias("similarity"))
 
 
 def _qsql(prompt: str, table: str, key: str, where: str = "true") -> str:

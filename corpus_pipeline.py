@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm import contamination, language, near_text, packing, private
-from chunkloom.sources.tables import forget, importable, place, scratch
+from chunkloom.sources.tables import forget, importable, place, scratch, spread
 
 #: The stages' decisions (learned languages, approximate search, redaction, packing) can't be expressed in SQL.
 ORACLE_SQL = None
@@ -53,7 +53,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
+    docs, old = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), ()
     for name, stage in STAGES:
         at = place(spark, f"stage-{name}")
         with scratch(spark):
