@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import columns, lists, slices, stored
+from chunkloom.llm.common import columns, slices, stored
 from chunkloom.llm.tokenizer import VOCABULARY, Vocabulary, ids
 
 CAPACITY, GROUP_ITEMS = 4096, 256
@@ -74,13 +75,28 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         parts += 1
 
 
+def _kept_as(enc: tiktoken.Encoding) -> np.dtype:
+    return np.dtype("<u2" if enc.max_token_value <= 65535 else "<u4")
+
+
+def _tokens(blobs: pa.Array, kept_as: np.dtype) -> np.ndarray:
+    """The tokens of pieces, one after another."""
+    _, offsets, data = blobs.buffers()
+    off = np.frombuffer(offsets, dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]].view(kept_as).astype(np.int32) if data is not None and len(off) else np.zeros(0, dtype=np.int32)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, start, size, ids): each row's tokens, cut every ``capacity`` tokens; a text without tokens has no piece."""
+    """(doc_id, text_hash, start, size, ids): each row's tokens, cut every ``capacity`` tokens; a text without tokens has no piece.
+
+    ``ids`` are bytes, little-endian, two a token if the vocabulary allows it, else four: a block of memory, not a list, to Spark.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value.encoding()
+        kept_as = _kept_as(enc)
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 part = b.slice(lo, hi - lo)
@@ -91,11 +107,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
                 size = np.minimum(capacity, n[row] - start)
                 at = pa.array(row)
-                out = [part.column(0).take(at), part.column(2).take(at), pa.array(start), pa.array(size), lists(np.concatenate(own).astype(np.int32), size, pa.int32())]
+                ends = np.append(0, np.cumsum(size * kept_as.itemsize)).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(own).astype(kept_as))])
+                out = [part.column(0).take(at), part.column(2).take(at), pa.array(start), pa.array(size), blobs]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_hash", "start", "size", "ids"])
 
     texts = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, start bigint, size bigint, ids array<int>")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash bigint, start bigint, size bigint, ids binary")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,10 +127,19 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     """
     kind = docs.schema[id_col].dataType.simpleString()
     cut = stored(pieces(docs, capacity, vocabulary, id_col, text_col), "pieces")
-    full = cut.where(F.col("size") == capacity).select(
-        F.lit(-1).cast("bigint").alias("window_group"), F.lit(None).cast("int").alias("window_no"), F.col("size").alias("n_tokens"), F.col("ids").alias("token_ids"),
-        F.array("doc_id").alias("doc_ids"), F.array("text_hash").alias("text_hashes"), F.array("start").alias("starts"), F.array("size").alias("lengths"),
-    )
+    kept_as = _kept_as(Vocabulary(vocabulary).encoding())
+    schema = f"window_group bigint, window_no int, n_tokens bigint, token_ids array<int>, doc_ids array<{kind}>, text_hashes array<bigint>, starts array<bigint>, lengths array<bigint>"
+    names = ["window_group", "window_no", "n_tokens", "token_ids", "doc_ids", "text_hashes", "starts", "lengths"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(b)
+            one = lambda c: pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), b.column(c))  # noqa: E731, B023
+            tokens = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * capacity, pa.int32()), pa.array(_tokens(b.column("ids"), kept_as)))
+            out = [pa.array(np.full(n, -1)), pa.nulls(n, pa.int32()), b.column("size"), tokens, one("doc_id"), one("text_hash"), one("start"), one("size")]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    full = cut.where(F.col("size") == capacity).mapInArrow(whole, schema)
     rests = cut.where(F.col("size") < capacity)
     groups = max(1, -(-rests.count() // group_items))
 
@@ -139,11 +166,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
         took = t.take(pa.array(flat)).combine_chunks()
         lst = lambda c: pa.ListArray.from_arrays(pa.array(off, pa.int32()), took.column(c).combine_chunks())
         ends = np.append(0, np.cumsum(sizes[flat]))[off]
-        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), took.column("ids").combine_chunks().flatten())
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_tokens(took.column("ids").combine_chunks(), kept_as)))
         n = len(windows)
         out = [pa.array([t.column("g")[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(np.diff(ends)), tokens, lst("doc_id"), lst("text_hash"), lst("start"), lst("size")]
-        return pa.RecordBatch.from_arrays(out, ["window_group", "window_no", "n_tokens", "token_ids", "doc_ids", "text_hashes", "starts", "lengths"])
+        return pa.RecordBatch.from_arrays(out, names)
 
     placed = rests.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, text_hash, 7), {groups})")).repartition("g").sortWithinPartitions("g", F.desc("size"), "doc_id", "text_hash", "start")
-    small = placed.mapInArrow(run, f"window_group bigint, window_no int, n_tokens bigint, token_ids array<int>, doc_ids array<{kind}>, text_hashes array<bigint>, starts array<bigint>, lengths array<bigint>")
+    small = placed.mapInArrow(run, schema)
     return small.unionByName(full)
