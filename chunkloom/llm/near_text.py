@@ -27,6 +27,8 @@ from chunkloom.llm.common import U, Words, columns, fresh, lists, mix, scratch,
 from chunkloom.llm.components import components
 
 WORDS, BANDS, ROWS, THRESHOLD = 3, 30, 3, 0.45
+#: Rows, of some 40 bytes each, of what is to be done that are sent to all tasks; beyond that, all rows move to meet them.
+MOST_BROADCAST = 1 << 20
 #: Members of a bucket that the second round joins with as many others at once.
 BLOCK = 512
 
@@ -201,18 +203,33 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     go that resemble a kept one.  Of rows that agree in id and text, one stays (the least by a hash of all columns).  Rows
     with a null id stay, except that of rows equal in all columns one stays; so do rows whose text is null or has no word.
     """
-    unit, gone, key, order = fresh(docs, "unit", "gone_id", "row_key", "row_order")
+    unit, key, order, gone, least, equal = fresh(docs, "unit", "row_key", "row_order", "is_gone", "least_order", "n_equal")
+    spark = docs.sparkSession
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     every = [_text(docs, c) for c in docs.columns]
     nulls = [F.concat(*(F.when(x.isNull(), "0").otherwise("1") for x in every))]
-    marked = docs.withColumn(unit, F.when(i.isNotNull(), F.struct(i.alias("id"), F.xxhash64(t).alias("h"))))
-    drop = near_duplicates(marked, id_col=unit, text_col=text_col, **how).where("doc_id <> keep_id").select(F.col("doc_id").alias(gone))
-    out = marked.join(drop, F.col(unit) == F.col(gone), "left_anti")
-    # Only rows whose key is repeated are grouped; texts of the others don't move.
     whole = F.struct(F.xxhash64(*every, *nulls).alias("x"), F.xxhash64(F.lit(7), *every, *nulls).alias("y"))
-    out = out.withColumn(order, whole).withColumn(key, F.struct(i.alias("id"), F.when(i.isNull(), F.col(order)).alias("row"), F.when(i.isNotNull(), F.xxhash64(t)).alias("h")))
-    many = out.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias(gone))
-    single = out.join(many, F.col(key).eqNullSafe(F.col(gone)), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    again = out.join(many, F.col(key).eqNullSafe(F.col(gone)), "left_semi").groupBy(key).agg(F.min_by(row, F.col(order)).alias("row"))
+    two = lambda *c: F.struct(F.xxhash64(*c).alias("x"), F.xxhash64(F.lit(7), *c).alias("y"))
+    # What is to be done is worked out on keys alone; then the rows move once, to meet it.
+    named = docs.select(i.alias("id"), F.xxhash64(t).alias("h"), t.alias("text")).where("id is not null")
+    short = F.xxhash64("id", "h")
+    # A document's 64-bit name, unless two documents have the same one: then its id and text hash are the name.
+    check = named.select(short.alias("u"), "h", F.xxhash64(F.lit(99), "id").alias("g"))
+    unlike = check.groupBy("u").agg((F.min("h") != F.max("h")).alias("x"), (F.min("g") != F.max("g")).alias("y")).where("x or y").isEmpty()
+    name = short if unlike else F.struct("id", "h")
+    with scratch(spark):
+        groups = near_duplicates(named.select(name.alias(unit), "text"), id_col=unit, text_col="text", **how).select(F.col("doc_id").alias("u"), F.col("keep_id").alias("root"))
+        members = groups.join(named.select(name.alias("u"), "id", "h").distinct(), "u")
+        keep = members.groupBy("root").agg(F.min(F.struct("id", "h")).alias("keep"))
+        drop = stored(members.join(keep, "root").where(F.struct("id", "h") != F.col("keep")).select(two("id", "h").alias(key), F.lit(True).alias(gone)), "gone", lasts=True)
+    keyed = docs.withColumn(order, whole).withColumn(key, F.when(i.isNotNull(), two(i, F.xxhash64(t))).otherwise(F.col(order)))
+    rows = keyed.groupBy(key, order).agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("all"), F.min(F.struct(order, "n")).alias("first")).where(F.col("all") > 1)
+    many = rows.select(key, F.col("first").getField(order).alias(least), F.col("first").getField("n").alias(equal))
+    todo = stored(drop.unionByName(many.join(drop, key, "left_anti"), allowMissingColumns=True), "to-do")
+    met = keyed.join(F.broadcast(todo) if todo.count() <= MOST_BROADCAST else todo, key, "left").where(F.col(gone).isNull() & (F.col(least).isNull() | (F.col(least) == F.col(order))))
+    single = met.where(F.coalesce(F.col(equal), F.lit(1)) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    if todo.where(F.col(equal) > 1).isEmpty():
+        return single
+    # Rows equal in all columns: any one of them.
+    again = met.where(F.col(equal) > 1).groupBy(key).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
     return single.unionByName(again.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
