@@ -7,6 +7,7 @@ Python code runs for each word.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.sources.tables import forget, place, scratch, stored
@@ -185,6 +186,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows an Arrow batch in what is run inside, for rows of kilobytes.  Other queries of the session that
+    are planned meanwhile get batches of that size as well, which changes none of their results."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def attempt() -> str:
     """A name for this attempt of the task: no other attempt of it, or of another task, has it."""
     task = TaskContext.get()

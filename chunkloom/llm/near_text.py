@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import U, Words, columns, fresh, lists, mix, scratch, slices, stored, weighted
+from chunkloom.llm.common import U, Words, batch_rows, columns, fresh, lists, mix, scratch, slices, stored, weighted
 from chunkloom.llm.components import components
 
 WORDS, BANDS, ROWS, THRESHOLD = 3, 30, 3, 0.45
@@ -116,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays(out, ["id", "els", "ws"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     for b in batches:
         size = sum(np.asarray(b.column(c).value_lengths().fill_null(0)) for c in ("els", "els_b")).cumsum()
         lo = 0
@@ -137,7 +137,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, kind: str, threshold: float) ->
     """The pairs (a, b) with ``ok``: whether they reach the threshold."""
     other = sets.select(F.col("id").alias("b"), F.col("els").alias("els_b"), F.col("ws").alias("ws_b"))
     full = pairs.join(other, "b").join(sets.withColumnRenamed("id", "a"), "a").select("a", "b", "els", "ws", "els_b", "ws_b")
-    return stored(full.mapInArrow(lambda it: _verify(it, threshold), f"a {kind}, b {kind}, ok boolean"), "verified")
+    with batch_rows(pairs.sparkSession, 512):
+        return stored(full.mapInArrow(lambda it: _verify(it, threshold), f"a {kind}, b {kind}, ok boolean"), "verified")
 
 
 def _across(members: DataFrame, block: int) -> DataFrame:
