@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chunkloom.sources.tables import forget, place, scratch, stored
 
 __all__ = ["forget", "place", "scratch", "stored"]
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: ``weighted`` has 16 bits for a text's number.
 SLICE_ROWS = 1 << 16
 U = np.uint64
