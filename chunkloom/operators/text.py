@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.config import SEGMENTERS, member
+from chunkloom.operators.slices import sliced
 
 _BLANKS = r" \t\r\f\x0B"
 #: From the first character that isn't blank up to the closing marks, or up to the last one that isn't blank where a line or the text ends without any.
@@ -129,6 +130,17 @@ def _rows(sizes: list[int], columns: list[pa.Array], item: pa.StructType) -> pa.
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(item)))
 
 
+def _tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray, list[int]]:
+    """Lower-case tokens of all texts, their places and how many each text has."""
+    words, places, sizes = [], [], []
+    for t in texts:
+        w = _PY_TOKEN.findall(t)
+        words += [x.lower() for x in w]
+        places.append(np.fromiter((x for m in _PY_TOKEN.finditer(t) for x in m.span()), np.int32, 2 * len(w)))
+        sizes.append(len(w))
+    return pa.array(words, pa.string()), _spans(np.concatenate(places) if places else []), sizes
+
+
 def locate_tokens(text: Column) -> Column:
     """array<struct<token,start,end>>: lower-case tokens with their places in the text."""
     item = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -161,18 +173,16 @@ def tokens(docs: DataFrame, method: str = "regex", id_col: str = "doc_id", text_
     member("method", method, SEGMENTERS)
     cut, lead = _METHODS[method], prompt or ""
 
-    @F.arrow_udf("array<struct<token: string, start: int, end: int, sent_id: int>>")
+    @sliced("array<struct<token: string, start: int, end: int, sent_id: int>>", 1, row=16 + shift)
     def assign(texts: pa.Array) -> pa.Array:
         every = [t or "" for t in texts.to_pylist()]
-        spans = [[m.span() for m in _PY_TOKEN.finditer(lead + t)] for t in every]
-        words = pa.array([w.lower() for t in every for w in _PY_TOKEN.findall(lead + t)], pa.string())
-        sizes = [len(r) for r in spans]
-        flat = _spans([x for r in spans for x in r]) - shift
+        words, flat, sizes = _tokens([lead + t for t in every])
+        flat -= shift
         sents = [cut(t) for t in every]
         bounds = _spans([x for r in sents for x in r]).astype(np.int64)
         # All rows at once: places are moved apart by row, so that one search finds the sentence in which a token begins.
         wide = max((len(t) for t in every), default=0) + shift + 2
-        row, own = (np.repeat(np.arange(len(every)), [len(r) for r in x]) for x in (spans, sents))
+        row, own = (np.repeat(np.arange(len(every)), n) for n in (sizes, [len(r) for r in sents]))
         at = np.searchsorted(bounds[:, 0] + own * wide, flat[:, 0] + row * wide, side="right") - 1
         number = np.arange(len(own)) - np.repeat(np.cumsum([0, *map(len, sents)])[:-1], [len(r) for r in sents])
         if len(own):
