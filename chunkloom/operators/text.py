@@ -110,7 +110,7 @@ def segment(text: Column, method: str = "regex") -> Column:
     cut = _METHODS[method]
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
 
-    @F.arrow_udf("array<struct<start: int, end: int, text: string>>")
+    @sliced("array<struct<start: int, end: int, text: string>>", 1)
     def run(texts: pa.Array) -> pa.Array:
         every = texts.to_pylist()
         spans = [cut(t) if t else [] for t in every]
@@ -145,13 +145,10 @@ def locate_tokens(text: Column) -> Column:
     """array<struct<token,start,end>>: lower-case tokens with their places in the text."""
     item = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
-    @F.arrow_udf("array<struct<token: string, start: int, end: int>>")
+    @sliced("array<struct<token: string, start: int, end: int>>", 1)
     def run(texts: pa.Array) -> pa.Array:
-        every = [t or "" for t in texts.to_pylist()]
-        spans = [[m.span() for m in _PY_TOKEN.finditer(t)] for t in every]
-        flat = _spans([x for r in spans for x in r])
-        words = pa.array([w.lower() for t in every for w in _PY_TOKEN.findall(t)], pa.string())
-        return _rows([len(r) for r in spans], [words, pa.array(flat[:, 0]), pa.array(flat[:, 1])], item)
+        words, flat, sizes = _tokens([t or "" for t in texts.to_pylist()])
+        return _rows(sizes, [words, pa.array(flat[:, 0]), pa.array(flat[:, 1])], item)
 
     return run(text)
 

@@ -52,15 +52,33 @@ def test_tokens_of_a_large_batch_are_made_in_slices(spark, caught):
     assert all(t["sent_id"] == k // 7 * 2 + (k % 7 > 2) for k, t in enumerate(last))
 
 
+def test_places_of_a_large_batch_are_made_in_slices(spark, caught):
+    tx.locate_tokens(F.col("text"))
+    parts, mb = ran(caught[-1], pa.array([WORDS * n if n else None for n in SIZES]))
+    assert mb < 64 and [n for p in parts for n in p.value_lengths().to_pylist()] == [7 * n for n in SIZES]
+    assert [tuple(t.values()) for t in parts[-1][-1].as_py()[-2:]] == [("and", 18 * len(WORDS) + 27, 18 * len(WORDS) + 30), ("e", 18 * len(WORDS) + 31, 18 * len(WORDS) + 32)]
+
+
+def test_sentences_of_a_large_batch_are_made_in_slices(spark, caught):
+    tx.segment(F.col("text"))
+    parts, mb = ran(caught[-1], pa.array(["Ab. " * 10 * n if n else None for n in SIZES]))
+    assert mb < 64 and [n for p in parts for n in p.value_lengths().to_pylist()] == [10 * n for n in SIZES]
+    assert list(parts[-1][-1].as_py()[-1].values()) == [756, 759, "Ab."]
+
+
 def test_slices_join_to_the_batch(spark, monkeypatch):
     from chunkloom.operators import slices
 
     texts = [(k, None if k % 7 == 3 else WORDS * (k % 5)) for k in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
-    whole = tx.tokens(df, prompt="find: ").collect()
+
+    def made():
+        return [tx.tokens(df, prompt="find: ").collect(), tx.sentences(df, "regex-abbrev").collect(), df.select(tx.locate_tokens(F.col("text"))).collect()]
+
+    whole = made()
     for most in (1, 100, 300):
         monkeypatch.setattr(slices, "SLICE", most)
-        assert tx.tokens(df, prompt="find: ").collect() == whole
+        assert made() == whole
 
 
 def test_ranges():
