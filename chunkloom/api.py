@@ -16,6 +16,7 @@ from chunkloom.operators import text as tx
 from chunkloom.operators import vectors as vx
 from chunkloom.operators.encoders import HashContextEncoder, TokenEncoder, batched, run_batches, token_hash
 from chunkloom.operators.order import numbered
+from chunkloom.operators.slices import sliced
 from chunkloom.operators.tokenizer import VocabularyTokenizer
 
 
@@ -120,7 +121,7 @@ class LateChunker:
 
         if tokenizer is None:
 
-            @F.arrow_udf("array<double>")
+            @sliced("array<double>", 2)
             def run(rows: pa.Array) -> pa.Array:
                 return vectors(rows.flatten().to_numpy(zero_copy_only=False), np.asarray(rows.value_lengths().fill_null(0)))
 
@@ -128,7 +129,7 @@ class LateChunker:
             made = run(F.transform(tx.truncated(toks, room, 0) if room else toks, token_hash))
         else:
 
-            @F.arrow_udf("array<double>")
+            @sliced("array<double>", 1)
             def run(texts: pa.Array) -> pa.Array:
                 ids, _, size = tokenizer([t or "" for t in texts.to_pylist()])
                 tokenizer.check(ids)

@@ -17,6 +17,7 @@ from chunkloom.config import ChunkConfig, Options
 from chunkloom.functions import layout
 from chunkloom.operators import text as tx
 from chunkloom.operators.encoders import HashContextEncoder, TokenEncoder, batched, hash_token, run_batches, token_hash
+from chunkloom.operators.slices import sliced
 from chunkloom.operators.tokenizer import VocabularyTokenizer
 
 PLAN = "config_no int, chunk_no int, seq_no int, first_sent int, last_sent int, num_sents int, is_split boolean, n_tokens int, tok_lo int, tok_hi int, sent_lo int, opens boolean, closes boolean"
@@ -24,6 +25,8 @@ PLAN = "config_no int, chunk_no int, seq_no int, first_sent int, last_sent int,
 PLACES = "char_lo int, char_hi int"
 _PLAN_TYPE = pa.struct([(n, {"int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in PLAN.split(", "))])
 CLS, SEP = "[CLS]", "[SEP]"
+#: What a token and a sentence's count add to the cost of a slice, see ``slices``: chunks are tuples while they are planned.
+_OF_TOKEN, _OF_COUNT = 2, 16
 
 
 def windows(n: Column, size: int, overlap: float | int = 0, keep_tail: bool = False) -> Column:
@@ -42,7 +45,7 @@ def greedy_chunks(counts: Column, most: int, sents: int | None = None, overlap:
     """array<struct<first,last,piece,n_tokens>> of token-budget chunks over an array of tokens a sentence."""
     item = pa.struct([(n, pa.int32()) for n in ("first", "last", "piece", "n_tokens")])
 
-    @F.arrow_udf("array<struct<first: int, last: int, piece: int, n_tokens: int>>")
+    @sliced("array<struct<first: int, last: int, piece: int, n_tokens: int>>", _OF_COUNT)
     def run(rows: pa.Array) -> pa.Array:
         return _structs([layout.greedy(r or [], most, sents, overlap, split) for r in rows.to_pylist()], item)
 
@@ -54,7 +57,7 @@ def packed_sequences(counts: Column, room: int, overlap: float | int = 0.5) -> C
     names = ("seq_no", "first_sent", "first_sub", "last_sent", "last_sub", "n_tokens")
     item = pa.struct([(n, pa.int32()) for n in names])
 
-    @F.arrow_udf("array<struct<seq_no: int, first_sent: int, first_sub: int, last_sent: int, last_sub: int, n_tokens: int>>")
+    @sliced("array<struct<seq_no: int, first_sent: int, first_sub: int, last_sent: int, last_sub: int, n_tokens: int>>", _OF_COUNT)
     def run(rows: pa.Array) -> pa.Array:
         out = []
         for r in rows.to_pylist():
@@ -179,7 +182,7 @@ def prepared_by(tokenizer: VocabularyTokenizer, docs: DataFrame, id_col: str = "
     """
     fields = {"sents": "array<string>", "hashes": "array<bigint>", "counts": "array<int>", "starts": "array<int>", "ends": "array<int>"}
 
-    @F.arrow_udf("struct<" + ", ".join(f"{n}: {t}" for n, t in fields.items()) + ">")
+    @sliced("struct<" + ", ".join(f"{n}: {t}" for n, t in fields.items()) + ">", 1)
     def run(texts: pa.Array) -> pa.Array:
         every = [t or "" for t in texts.to_pylist()]
         spans = tx.sentence_offsets(every, method)
@@ -215,7 +218,9 @@ def embedded(docs: DataFrame, plan: Plan, options: Options, encoder: TokenEncode
     lead = plan.lead
     names = [f.name for f in _PLAN_TYPE]
 
-    @F.arrow_udf(f"array<struct<{(PLAN + ', ' + PLACES).replace(' ', ': ').replace(',:', ',')}, embedding: array<double>>>")
+    of_slice = (_OF_TOKEN, _OF_COUNT * len(plan.configs), *([0, 0] if tokenizer else []))
+
+    @sliced(f"array<struct<{(PLAN + ', ' + PLACES).replace(' ', ': ').replace(',:', ',')}, embedding: array<double>>>", *of_slice)
     def run(hashes: pa.Array, counts: pa.Array, *places: pa.Array) -> pa.Array:
         flat, base = _flat(hashes)
         rows, sizes = [], []

@@ -7,6 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chunkloom.api import LateChunker
+from chunkloom.config import ChunkConfig, Options
+from chunkloom.operators import chunks as ch
 from chunkloom.operators import text as tx
 
 WORDS = "Alpha beta gamma. Delta 12 and e! "
@@ -89,3 +92,35 @@ def test_ranges():
     assert list(ranges([a, b], [0, 1], 1, 4)) == [(0, 2), (2, 4)]
     assert list(ranges([a.slice(0, 0)], [1], 1, 4)) == []
     assert [hi - lo for lo, hi in ranges([pa.array(["x"] * 100)], [1], 0, 7)] == [7] * 14 + [2]
+
+
+def test_chunks_of_a_large_batch_are_made_in_slices(spark, caught):
+    plan = ch.Plan([ChunkConfig(1), ChunkConfig(3)], 1 << 30, prechunk=False, keep_tail=True)
+    ch.embedded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), plan, Options())
+    sizes = [k % 40 for k in range(10_000)]
+    counts = pa.array([[3] * n if n else None for n in sizes], pa.list_(pa.int32()))
+    hashes = pa.array([[7 + k, 5, 6] * n if n else None for k, n in enumerate(sizes)], pa.list_(pa.int64()))
+    parts, mb = ran(caught[-1], hashes, counts)
+    assert mb < 64 and [n for p in parts for n in p.value_lengths().to_pylist()] == [n + -(-n // 3) for n in sizes]
+    last = parts[-1][-1].as_py()
+    assert [(c["config_no"], c["first_sent"], c["last_sent"], c["n_tokens"]) for c in last[-2:]] == [(1, 33, 35, 9), (1, 36, 38, 9)] and len({tuple(c["embedding"]) for c in last}) == 1
+
+
+def test_slices_of_chunks_join_to_the_batch(spark, monkeypatch):
+    from chunkloom.operators import slices
+
+    texts = [(k, None if k % 7 == 3 else WORDS * (k % 5)) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+
+    def made():
+        late = LateChunker()
+        prompted = late.encode(df, max_chunk_sents=2, prechunk=False, prompt="search document: ").collect()
+        three = late.encode(df, max_length=16, max_chunk_sents=[1, 2, 3]).collect()
+        counts = df.select(F.expr("transform(sequence(0, cast(doc_id as int)), i -> i % 9)").alias("c"))
+        plain = counts.select(ch.greedy_chunks(F.col("c"), 10, 3, 1), ch.packed_sequences(F.col("c"), 12)).collect()
+        return [prompted, three, plain, late.encode_queries(df, id_col="doc_id").collect()]
+
+    whole = made()
+    for most in (1, 1000):
+        monkeypatch.setattr(slices, "SLICE", most)
+        assert made() == whole
