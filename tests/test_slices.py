@@ -124,3 +124,16 @@ def test_slices_of_chunks_join_to_the_batch(spark, monkeypatch):
     for most in (1, 1000):
         monkeypatch.setattr(slices, "SLICE", most)
         assert made() == whole
+
+
+def pooled(spark, caught, plan):
+    """(chunks of each of 10,000 documents of k % 40 sentences, MB)."""
+    ch.embedded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), plan, Options())
+    sizes = [k % 40 for k in range(10_000)]
+    parts, mb = ran(caught[-1], pa.array([[7, 5, 6] * n for n in sizes], pa.list_(pa.int64())), pa.array([[3] * n for n in sizes], pa.list_(pa.int32())))
+    return [n for p in parts for n in p.value_lengths().to_pylist()], mb
+
+
+def test_prompted_chunks_of_a_large_batch_are_made_in_slices(spark, caught):
+    n, mb = pooled(spark, caught, ch.Plan([ChunkConfig(2)], 1 << 30, prechunk=False, keep_tail=True, prompt="search document: "))
+    assert mb < 32 and n == [-(-(k % 40) // 2) for k in range(10_000)]
