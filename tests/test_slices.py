@@ -137,3 +137,8 @@ def pooled(spark, caught, plan):
 def test_prompted_chunks_of_a_large_batch_are_made_in_slices(spark, caught):
     n, mb = pooled(spark, caught, ch.Plan([ChunkConfig(2)], 1 << 30, prechunk=False, keep_tail=True, prompt="search document: "))
     assert mb < 32 and n == [-(-(k % 40) // 2) for k in range(10_000)]
+
+
+def test_chunks_of_three_configurations_are_made_in_slices(spark, caught):
+    n, mb = pooled(spark, caught, ch.Plan([ChunkConfig(s) for s in (1, 2, 3)], 1 << 30, prechunk=False, keep_tail=True))
+    assert mb < 64 and n == [sum(-(-(k % 40) // s) for s in (1, 2, 3)) for k in range(10_000)]
